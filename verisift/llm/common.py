@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,3 +56,12 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterat
 def texts(column: pa.Array) -> list[str]:
     """Python strings; null counts as empty."""
     return [x or "" for x in column.to_pylist()]
+
+
+def per_process(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: the object of one key, the last asked for."""
+    held = sys.__dict__.setdefault("_verisift_held", {})
+    if key not in held:
+        held.clear()
+        held[key] = make()
+    return held[key]

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, slices, texts
+from .common import partitions, per_process, shared_dir, slices, texts
 from .kernels import U64, mix, window_hashes
 
 WINDOW, MIN, AVERAGE, MAX = 16, 256, 1024, 8192
@@ -126,7 +126,7 @@ _STAGED = "doc_id long, n_tokens long, recipe binary, root binary, name binary,
 
 def _stage(file: str, end_id: int):
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = WordEncoder(file), set()
+        encoder, seen = per_process(("word-encoder", file), lambda: WordEncoder(file)), set()
         for batch in slices(batches):
             docs, chunks = [], []
             for doc, raw in zip(batch.column(0).to_pylist(), encoder(texts(batch.column(1))), strict=True):
