@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import matroska, onebit, token_store, unigram
+from . import language, matroska, mixing, onebit, token_store, unigram
 from .common import table
 
 
@@ -38,6 +38,30 @@ def op4_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def learns() -> Column:
+    """Rows that op7 may learn from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(language.training_rows(docs, learns()))
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(~learns(), F.lit(False)).alias("held_out"), "text")
+    return language.detect(marked, model, ["doc_id", "held_out"]).drop("proportions")
+
+
+#: Target weights of the sources: the crawl is held down, two curated sources are raised, the rest shares what is left.
+WEIGHTS = {"src0": 0.2, "src1": 0.08, "src2": 0.08, "src3": 0.04, "src4": 0.04, mixing.REST: 0.56}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS)
+    return mixed.select("doc_id", "source", "replica", "shuffle_key", F.coalesce(F.length("text"), F.lit(0)).alias("n_text"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+OP8_SQL = mixing.oracle_sql(WEIGHTS, "doc_id, source, replica, shuffle_key, CAST(coalesce(length(text), 0) AS INTEGER) AS n_text, sha256(coalesce(text, '')) AS text_sha256")
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -47,6 +71,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_matroska": op1_matroska,
         "op3_onebit": op3_onebit,
         "op4_unigram": op4_unigram,
+        "op7_language": op7_language,
+        "op8_mixing": op8_mixing,
         "op10_token_store": op10_token_store,
     }
 
@@ -54,4 +80,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_onebit": OP3_SQL,
+        "op8_mixing": OP8_SQL,
     }
