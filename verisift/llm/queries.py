@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, matroska, mixing, onebit, token_store, unigram
+from . import language, licenses, matroska, mixing, onebit, token_store, unigram
 from .common import table
 
 
@@ -62,6 +62,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = mixing.oracle_sql(WEIGHTS, "doc_id, source, replica, shuffle_key, CAST(coalesce(length(text), 0) AS INTEGER) AS n_text, sha256(coalesce(text, '')) AS text_sha256")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_detections")
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_unigram": op4_unigram,
         "op7_language": op7_language,
         "op8_mixing": op8_mixing,
+        "op9_licenses": op9_licenses,
         "op10_token_store": op10_token_store,
     }
 
