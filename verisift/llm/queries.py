@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, matroska, mixing, onebit, token_store, unigram
+from . import language, licenses, matroska, mixing, onebit, pages, token_store, unigram
 from .common import table
 
 
@@ -38,6 +38,19 @@ def op4_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+#: The tables' pages have one article of headings and paragraphs each; &amp; is decoded last.
+OP5_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*?)</article>', 1, 's') AS x FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '</?(p|h[1-6])>', chr(10), 'g'), '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), chr(10)),
+        lambda y: trim(regexp_replace(replace(replace(replace(replace(replace(y, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks FROM a)
+SELECT page_id, url, array_to_string(list_filter(blocks, lambda y: y <> ''), chr(10)) AS text, CAST(length(array_to_string(list_filter(blocks, lambda y: y <> ''), chr(10))) AS BIGINT) AS n_chars FROM b
+"""
+
+
 def learns() -> Column:
     """Rows that op7 may learn from."""
     return F.crc32(F.col("doc_id").cast("string")) % 4 != 2
@@ -76,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_matroska": op1_matroska,
         "op3_onebit": op3_onebit,
         "op4_unigram": op4_unigram,
+        "op5_pages": op5_pages,
         "op7_language": op7_language,
         "op8_mixing": op8_mixing,
         "op9_licenses": op9_licenses,
@@ -86,5 +100,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_onebit": OP3_SQL,
+        "op5_pages": OP5_SQL,
         "op8_mixing": OP8_SQL,
     }
