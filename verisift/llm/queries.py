@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, matroska, mixing, onebit, pages, token_store, unigram
+from . import language, licenses, matroska, mixing, neardup, onebit, pages, token_store, unigram
 from .common import table
 
 
@@ -21,6 +21,24 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(matroska.store(table(spark, sf_dir, "documents")))
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+x AS (SELECT doc_id, unnest(sh) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * p.k >= 85 * (na.n + nb.n - p.k)),
+g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT g.b, r.c FROM r JOIN g ON g.a = r.doc_id),
+m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id, n.doc_id = m.c AS kept FROM n JOIN m USING (doc_id)
+"""
+
+
 def op3_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onebit.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -87,6 +105,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_matroska": op1_matroska,
+        "op2_neardup": op2_neardup,
         "op3_onebit": op3_onebit,
         "op4_unigram": op4_unigram,
         "op5_pages": op5_pages,
@@ -99,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_neardup": OP2_SQL,
         "op3_onebit": OP3_SQL,
         "op5_pages": OP5_SQL,
         "op8_mixing": OP8_SQL,
