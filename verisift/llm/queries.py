@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, matroska, mixing, neardup, onebit, pages, token_store, unigram
+from . import language, licenses, matroska, mixing, neardup, onebit, pages, substrings, token_store, unigram
 from .common import table
 
 
@@ -69,6 +69,23 @@ SELECT page_id, url, array_to_string(list_filter(blocks, lambda y: y <> ''), chr
 """
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT r, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35),
+h AS (SELECT s.r, s.i, md5(array_to_string(list_slice(w.ws, s.i, s.i + 34), ' ')) AS h FROM s JOIN w USING (r)),
+d AS (SELECT r, i FROM h QUALIFY count(*) OVER (PARTITION BY h) > 1),
+g AS (SELECT r, list_distinct(flatten(list(range(i, i + 35)))) AS gone FROM d GROUP BY r),
+k AS (SELECT w.doc_id, w.ws, coalesce(g.gone, []) AS gone FROM w LEFT JOIN g USING (r))
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN len(gone) = 0 THEN array_to_string(ws, ' ') ELSE coalesce(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(gone, i)), ' '), '') END) AS kept_sha256
+FROM k
+"""
+
+
 def learns() -> Column:
     """Rows that op7 may learn from."""
     return F.crc32(F.col("doc_id").cast("string")) % 4 != 2
@@ -109,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_onebit": op3_onebit,
         "op4_unigram": op4_unigram,
         "op5_pages": op5_pages,
+        "op6_substrings": op6_substrings,
         "op7_language": op7_language,
         "op8_mixing": op8_mixing,
         "op9_licenses": op9_licenses,
@@ -121,5 +139,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_neardup": OP2_SQL,
         "op3_onebit": OP3_SQL,
         "op5_pages": OP5_SQL,
+        "op6_substrings": OP6_SQL,
         "op8_mixing": OP8_SQL,
     }

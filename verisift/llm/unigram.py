@@ -329,8 +329,9 @@ def decode(encoded: DataFrame, file: str) -> DataFrame:
 DIGEST = "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
 
 
-def digest(docs: DataFrame, file: str) -> DataFrame:
-    """Encodes every whole text, decodes the ids and tells what came of it."""
+def digest(docs: DataFrame, file: str, with_ids: bool = False) -> DataFrame:
+    """Encodes every whole text, decodes the ids and tells what came of it; with_ids: and gives the ids."""
+    schema = DIGEST + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = per_process(("unigram", file), lambda: load(file))
@@ -339,8 +340,8 @@ def digest(docs: DataFrame, file: str) -> DataFrame:
             rows, given = [], texts(batch.column(1))
             for doc, text, ids in zip(batch.column(0).to_pylist(), given, model.encode(given), strict=True):
                 back = model.decode(ids)
-                rows.append((doc, len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == text))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], [x.split()[0] for x in DIGEST.split(", ")])
+                rows.append((doc, len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == text, *[ids.astype(np.int32)] * with_ids))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), *[pa.list_(pa.int32())] * with_ids)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DIGEST)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
