@@ -102,6 +102,8 @@ class Detector:
 
     def __call__(self, batch: list[str | None]) -> list[tuple[str, float, dict[str, float]]]:
         """Language, its proportion, and the proportions of the chosen set, for each text."""
+        if not self.model.languages:
+            return [(UNDETERMINED, 0.0, {})] * len(batch)
         split = [_WORD.findall(t.lower()) if t else [] for t in batch]
         new: set[str] = set()
         for parts in split:
@@ -116,8 +118,6 @@ class Detector:
         out: list[tuple[str, float, dict[str, float]]] = [(UNDETERMINED, 0.0, {})] * len(batch)
         live = [k for k, parts in enumerate(split) if parts]
         languages = self.model.languages
-        if not live or not languages:
-            return out
         for at in range(0, len(live), 256):
             some = live[at : at + 256]
             rows = self.rows
