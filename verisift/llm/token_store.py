@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, per_process, shared_dir, slices, texts
+from .common import drop_dir, partitions, per_process, shared_dir, slices, texts
 from .kernels import U64, mix, window_hashes
 
 WINDOW, MIN, AVERAGE, MAX = 16, 256, 1024, 8192
@@ -158,6 +158,7 @@ def write_store(docs: DataFrame, at: str, tokenizer: str, end_id: int) -> None:
     staged.where("name is not null").select("name", "n", "body").dropDuplicates(["name"]).write.option("compression", "none").parquet(f"{at}/chunks")
     recipes = staged.where("recipe is not null").select("doc_id", "n_tokens", "recipe", "root")
     recipes.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id").select(F.monotonically_increasing_id().alias("rid"), "*").write.parquet(f"{at}/recipes")
+    drop_dir(spark, f"{at}/staged")
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
