@@ -124,7 +124,7 @@ def _values(answers: pa.Table) -> np.ndarray:
 def _run(docs: DataFrame, width: int, finish: Callable[[pa.Table, np.ndarray, Words], pa.Table], schema: str) -> DataFrame:
     """The three rounds over (doc_id, text, ...)."""
     n, parts = docs.count(), partitions(docs.sparkSession)
-    n_groups, n_buckets = max(2 * parts, -(-n // GROUP)), max(parts, -(-n // (2 * GROUP)))
+    n_groups, n_buckets = max(parts, -(-n // GROUP)), max(-(-parts // 2), -(-n // (2 * GROUP)))
     grouped = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).alias("_g"), "*")
 
     def first(table: pa.Table) -> pa.Table:
