@@ -37,6 +37,8 @@ from .kernels import U64, WORD_BASE, mix, powers, shingles, utf8, word_hashes
 CELLS, SEED = 1 << 20, 71
 #: Cells of a document that are gathered at once.
 GATHER = 2048
+#: Bits of the filter that spares a shuffle the texts of documents in no pair; 64 to a row, so it never passes 65,536 rows.
+FILTER_BITS = 1 << 22
 
 
 def bands_for(percent: float) -> tuple[int, int]:
@@ -91,6 +93,14 @@ def signatures(docs: DataFrame, width: int, percent: float, lower: bool) -> Data
     return docs.mapInArrow(run, SIGNED)
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text) of the wanted documents.  A bit map of fixed size, whatever the tables', drops most others before the join."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits"))
+    near = docs.withColumn("_slot", slot).join(F.broadcast(bits), F.shiftright("_slot", 6) == F.col("word")).where("(bits >> CAST(_slot & 63 AS INT)) & 1 = 1").select("doc_id", "text")
+    return near.join(wanted, "doc_id")
+
+
 def verified(pairs: DataFrame, held: DataFrame, width: int, percent: float, lower: bool) -> DataFrame:
     """Those of the pairs (a, b) that are linked on their full sets; held: (doc_id, text) of all documents in pairs."""
 
@@ -160,7 +170,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: float = 80, lower:
     # Stars.
     pairs = keep(members.where("centre < rep").groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("buckets")).select("a", "b"), "star-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = keep(docs.join(wanted, "doc_id"), "texts")  # of documents in pairs alone
+    held = keep(texts_of(docs, wanted), "texts")
     edges = verified(pairs, held, width, percent, lower)
     # A document of several rows may stand in several classes, and links them.
     several = linked.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id")
