@@ -9,10 +9,10 @@ coordinates are the buckets.  Pairs are linked if 100 * intersection >= percent
 No group is expanded into its pairs.
   1. Documents of equal sets form one class, known by its smallest doc_id; only representatives go on.
   2. Each bucket is a star: every member is verified against its smallest.
-  3. Where a bucket then still has several components, the rest is exact: a shingle that no other candidate has
-     bounds what its document can share, and only pairs of different components whose bounds reach the threshold
-     are verified.
-  4. Components of the verified links come from alternating large-star and small-star rounds.
+  3. Where a bucket then still has several components, a shingle that no other candidate has bounds what its document
+     can share.  Members of other components are verified against the member of least such share, the most central one.
+  4. The rest is exact: all pairs of different components whose bounds reach the threshold are verified.
+  5. Components of the verified links come from alternating large-star and small-star rounds.
 
 The chance to miss a link of exactly the threshold t is (1 - t**rows)**bands, below 1e-5 for the numbers here.
 
@@ -155,6 +155,22 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def unresolved(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members with their components, of the buckets that hold several."""
+    placed = keep(members.join(found, members.rep == found.node, "left").drop("node").withColumn("component", F.coalesce("component", "rep")), "placed")
+    several = keep(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high AND size > 2").select("key"), "several")
+    return keep(placed.join(several, "key"), "unresolved")
+
+
+def extended(edges: DataFrame, found: DataFrame, pairs: DataFrame, held: DataFrame, width: int, percent: float, lower: bool) -> tuple[DataFrame, DataFrame]:
+    """Links and components with those that the pairs add."""
+    pairs = keep(pairs, "more-pairs")
+    if pairs.isEmpty():
+        return edges, found
+    edges = keep(edges.union(verified(pairs, held, width, percent, lower)), "links")
+    return edges, keep(components(edges), "components")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: float = 80, lower: bool = True) -> DataFrame:
     """(doc_id, text) to (doc_id, n_shingles, component_id, kept), one row for each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -177,23 +193,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: float = 80, lower:
     bridges = linked.join(several, "doc_id").join(classes, ["n", "h1", "h2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     edges = keep(edges.union(bridges), "star-links")
     found = keep(components(edges), "components")
-    # The rest of buckets with several components.
-    placed = keep(members.join(found, members.rep == found.node, "left").select("key", "centre", "rep", "n", F.coalesce("component", "rep").alias("component")), "placed")
-    mixed = keep(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high AND size > 2").select("key"), "mixed")
-    rest = keep(placed.join(mixed, "key"), "rest")
+    # Buckets with several components.
+    rest = unresolved(members, found)
     if not rest.isEmpty():
         own = keep(alone(rest, held, width, lower), "own-shingles")
-        bounded = rest.join(own, rest.rep == own.doc_id, "left").select("key", "centre", "rep", "n", "component", F.coalesce("own", F.lit(0)).alias("own"))
         # What x shares with any y is at most n - own; the union is then at least y's size + own.
-        reach = bounded.withColumn("most", F.floor((F.col("n") - F.col("own")) * 100 / F.lit(float(percent)) - F.col("own")))
-        reach = keep(reach.where(F.col("most") * 100 >= percent * (F.col("n") - F.col("own"))), "reach")
-        x = reach.select("key", "centre", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "most", "component")])
-        y = reach.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "most", "component")])
-        can = (F.col("component_a") != F.col("component_b")) & (F.col("rep_a") < F.col("rep_b")) & (F.col("rep_a") != F.col("centre")) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
-        more = keep(x.join(y, "key").where(can).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), "rest-pairs")
-        if not more.isEmpty():
-            edges = keep(edges.union(verified(more, held, width, percent, lower)), "links")
-            found = keep(components(edges), "components")
+        bounded = members.join(own, members.rep == own.doc_id, "left").select("key", "centre", "rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
+        bounded = bounded.withColumn("most", F.floor((F.col("n") - F.col("own")) * 100 / F.lit(float(percent)) - F.col("own")))
+        bounded = keep(bounded.where(F.col("most") * 100 >= percent * (F.col("n") - F.col("own"))), "bounded")
+        reach = unresolved(bounded, found)
+        middle = keep(reach.groupBy("key").agg(F.min(F.struct(F.col("own") / F.col("n"), "rep", "n", "most", "component")).alias("c")).select("key", "c.*").toDF("key", "share", "rep_b", "n_b", "most_b", "component_b"), "middles")
+        fits = (F.col("n_b") <= F.col("most")) & (F.col("n") <= F.col("most_b"))
+        star = reach.join(middle, "key").where((F.col("component") != F.col("component_b")) & fits)
+        more = star.groupBy(F.col("rep_b").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("buckets")).select("a", "b")
+        edges, found = extended(edges, found, more, held, width, percent, lower)
+        reach = unresolved(bounded, found).join(middle.select("key", F.col("rep_b").alias("middle")), "key")
+        tested = (F.col("rep") == F.col("centre")) | (F.col("rep") == F.col("middle"))
+        x = reach.where(~tested).select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "most", "component")])
+        y = reach.where(~tested).select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "most", "component")])
+        can = (F.col("component_a") != F.col("component_b")) & (F.col("rep_a") < F.col("rep_b")) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
+        pairs = x.join(y, "key").where(can).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+        edges, found = extended(edges, found, pairs, held, width, percent, lower)
     of_class = keep(classes.join(found, classes.rep == found.node, "left").select("n", "h1", "h2", "rep", "last", F.coalesce("component", "rep").alias("component")), "class-components")
     out = signed.join(of_class.select("n", "h1", "h2", F.col("component").alias("c")), ["n", "h1", "h2"], "left")
     out = out.withColumn("component_id", F.when(F.col("n") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id")))
