@@ -6,6 +6,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -28,17 +29,33 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, what: str) -> DataFrame:
+#: Folders written within scratch(), innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+def keep(df: DataFrame, what: str, for_result: bool = False) -> DataFrame:
     """The frame written to the shared folder and read again: lineage ends there."""
     at = shared_dir(df.sparkSession, what)
     df.write.parquet(at)
+    if _SCRATCH and not for_result:
+        _SCRATCH[-1].append(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what keep() writes within, but for what the result is read from."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for at in _SCRATCH.pop():
+            drop_dir(spark, at)
+
+
 def drop_dir(spark: SparkSession, at: str) -> None:
-    jvm, path = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    del jvm
 
 
 def partitions(spark: SparkSession) -> int:

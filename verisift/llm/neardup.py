@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, slices
+from .common import keep, scratch, slices
 from .kernels import U64, WORD_BASE, mix, powers, shingles, utf8, word_hashes
 
 #: Cells of the permutations, and the seed of the second.
@@ -174,7 +174,16 @@ def extended(edges: DataFrame, found: DataFrame, pairs: DataFrame, held: DataFra
 def near_duplicates(docs: DataFrame, width: int = 5, percent: float = 80, lower: bool = True) -> DataFrame:
     """(doc_id, text) to (doc_id, n_shingles, component_id, kept), one row for each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = keep(signatures(docs, width, percent, lower), "signatures")
+    signed = keep(signatures(docs, width, percent, lower), "signatures", for_result=True)
+    with scratch(docs.sparkSession):
+        of_class = class_components(docs, signed, width, percent, lower)
+    out = signed.join(of_class.select("n", "h1", "h2", F.col("component").alias("c")), ["n", "h1", "h2"], "left")
+    out = out.withColumn("component_id", F.when(F.col("n") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def class_components(docs: DataFrame, signed: DataFrame, width: int, percent: float, lower: bool) -> DataFrame:
+    """(n, h1, h2, component) of all classes of equal sets."""
     linked = signed.where("n > 0 AND doc_id IS NOT NULL")
     # Classes of equal sets.
     classes = keep(linked.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
@@ -214,7 +223,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: float = 80, lower:
         can = (F.col("component_a") != F.col("component_b")) & (F.col("rep_a") < F.col("rep_b")) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
         pairs = x.join(y, "key").where(can).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
         edges, found = extended(edges, found, pairs, held, width, percent, lower)
-    of_class = keep(classes.join(found, classes.rep == found.node, "left").select("n", "h1", "h2", "rep", "last", F.coalesce("component", "rep").alias("component")), "class-components")
-    out = signed.join(of_class.select("n", "h1", "h2", F.col("component").alias("c")), ["n", "h1", "h2"], "left")
-    out = out.withColumn("component_id", F.when(F.col("n") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return keep(classes.join(found, classes.rep == found.node, "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component")), "class-components", for_result=True)
