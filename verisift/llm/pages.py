@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import keep, slices
 
 THRESHOLD, DECAY = 0.3, 0.9
 #: A branch seen in fewer places is not judged.
@@ -59,6 +59,10 @@ NOISE_WORDS = {
     "notice", "notices", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "alert", "toast", "paywall", "subscribe", "subscription", "newsletter", "signup", "signin", "login", "register", "search", "searchbox", "form", "contentinfo",
     "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "share", "sharing", "social", "hidden", "sr-only",
 }
+#: Words that make a noise word a matter of layout; words whose own header is main text; elements that class words do not remove.
+LAYOUT_WORDS = {"with", "without", "has", "no"}
+CONTENT_WORDS = {"article", "content", "entry", "post", "story"}
+WHOLE = {"html", "body", "main"}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -88,22 +92,27 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+def marks_noise(token: str) -> bool:
+    """Whether a class or id names a part that is no main text: `post-comments` does, `has-sidebar` and `entry-header` do not."""
+    words = [w.lower() for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token))]
+    found = NOISE_WORDS.intersection(words)
+    return bool(found) and not LAYOUT_WORDS.intersection(words) and not (found == {"header"} and words[0] in CONTENT_WORDS)
+
+
 def presentation(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """A node's name, and whether its presentation marks it as noise or as a landmark."""
     if not attributes or attributes.isspace():
         return tag, tag in NOISE_TAGS, tag in LANDMARKS
     found = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(attributes)}
-    name, words = tag, set()
+    name, marked = tag, bool(set((found.get("role") or "").lower().split()) & NOISE_WORDS)
     for key, sign in (("class", "."), ("id", "#")):
         if found.get(key):
             tokens = sorted(set(found[key].split()))
             name += "".join(sign + _DIGITS.sub("0", t) for t in tokens)
-            for t in tokens:
-                words.update(w.lower() for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", t)))
-    words.update((found.get("role") or "").lower().split())
+            marked = marked or any(marks_noise(t) for t in tokens)
     landmark = tag in LANDMARKS or found.get("role", "").lower() == "main" or "articlebody" in found.get("itemprop", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
-    noise = tag in NOISE_TAGS or bool(words & NOISE_WORDS) or bool(hidden)
+    noise = tag in NOISE_TAGS or (marked and tag not in WHOLE) or bool(hidden)
     return name.replace("/", "|"), noise, landmark and not noise
 
 
@@ -220,7 +229,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     """(url, html) to one row for each branch of each host: host, path, seen, style and content importance, importance."""
     values = pages.select("url", "html").mapInArrow(_count, SEEN).groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
     # sum of n ln n and of n give the entropy whatever the number of values: ln m - sum(n ln n) / m
-    nodes = values.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("nln"), F.count("*").alias("l"))
+    nodes = keep(values.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("nln"), F.count("*").alias("l")), "style-nodes")
     styles = nodes.where("kind = 0").select("host", "path", F.col("m").alias("seen"), F.when(F.col("m") > 1, 1 - F.col("nln") / F.col("m") / F.log("m")).otherwise(1.0).alias("style"), "l")
     contents = nodes.where("kind = 1").select("host", "path", "m", F.when(F.col("m") > 1, F.col("m") - F.col("nln") / F.log("m")).otherwise(F.col("m")).alias("important"))
     # Each node's contents count for all branches that it lies in.
@@ -237,7 +246,8 @@ EXTRACTED = "page_id long, url string, text string, n_chars long"
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) to (page_id, url, text, n_chars)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    low = style_tree(pages).where((F.col("importance") < THRESHOLD) & (F.col("seen") >= LEAST)).groupBy("host").agg(F.collect_list("path").alias("low"))
+    # Written, it is broadcast if its size allows; else pages of a large host can be split among tasks.
+    low = keep(style_tree(pages).where((F.col("importance") < THRESHOLD) & (F.col("seen") >= LEAST)).groupBy("host").agg(F.collect_list("path").alias("low")), "low-branches", for_result=True)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
