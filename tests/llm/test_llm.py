@@ -164,7 +164,7 @@ def test_search_equals_brute_force(spark):
     got = [(x.query_id, x["rank"], x.vec_id, x.score) for x in onebit.search(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()]
     want = []
     for q in range(0, 700, 100):
-        d = onebit.distances(vectors, np.repeat(vectors[q : q + 1], 700, 0))
+        d = onebit.distances(vectors.T, np.arange(700), vectors.T, np.full(700, q))
         order = [k for k in np.lexsort((np.arange(700), d)) if k != q][:10]
         want += [(q, n + 1, int(k), float(d[k])) for n, k in enumerate(order)]
     assert [x[:3] for x in got] == [x[:3] for x in want] and [x[3] for x in got] == [x[3] for x in want]
@@ -305,6 +305,7 @@ def page(body, head=""):
         (page("<nav><a href=/>Home</a></nav><article><h1>A  title</h1><p>One<br>two &lt;b&gt; <b>bold</b>.\n <p>Three<script>x('</p>')</script></article><footer>end</footer>"), "A title\nOne two <b> bold.\nThree"),
         (page("<header>Site</header><main><header><h1>Head</h1></header><p>Text</p><aside>Side</aside><form><p>Form</p></form><section class='comments'><p>Reader</p></section></main>"), "Head\nText"),
         (page("<div class='cookie-notice'>We use cookies</div><div id='sidebar1'>Side</div><div class=content><p>Main</p><ul><li>x<li>y</ul></div><div class='ad'>Buy</div>"), "Main\nx\ny"),
+        (page("<div class='main-with-sidebar'><div class='entry-header'><h1>H</h1></div><p>T</p><div class='post-comments'>C</div><div class='pageFooter'>F</div></div>"), "H\nT"),
         (page("<article><p>unclosed <i>tags<p>second<div>third</article>"), "unclosed tags\nsecond\nthird"),
         (page("<article><table><tr><td>a<td>b<tr><td>c</table></article>"), "a\nb\nc"),
         (page("<article><p>1 < 2 & 3 > 2</p><!-- <p>no</p> --><p hidden>no</p></article>"), "1 < 2 & 3 > 2"),

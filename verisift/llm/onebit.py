@@ -6,7 +6,7 @@ code's unit vector with components +-1/sqrt(D).  For a query with unit residual
 <x, Pv> / f estimates <u, v> without bias, off by at most e = SPREAD * sqrt((1 - f*f) / (f*f)) / sqrt(D - 1)
 with a high probability that does not depend on the data.  So each squared distance
 r*r + s*s - 2*r*s*<u, v> gets a lower and an upper bound from bits and scalars alone.  A vector is
-reranked on the original values if its lower bound does not pass the K-th smallest upper bound of its block.
+reranked on the original values unless its lower bound passes the largest distance of the k that look nearest in its block.
 
 The centre is the mean of at most FIT vectors (those of smallest hash of their id); any centre
 gives right results, a good one tight bounds.  Every valid vector is coded.  Queries meet all vectors, block by block.
@@ -75,37 +75,46 @@ def encode(vectors: DataFrame, centre: list[float], n_blocks: int) -> DataFrame:
     return vectors.select(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(n_blocks)).alias("block"), "vec_id", "embedding").mapInArrow(run, CODED)
 
 
-def distances(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Euclidean distances row by row, summed in order of the components."""
-    out = np.zeros(len(vectors))
-    for d in range(vectors.shape[1]):
-        out += (vectors[:, d] - queries[:, d]) ** 2
+def distances(vectors: np.ndarray, at: np.ndarray, queries: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Euclidean distances of column at[k] of `vectors` and column of[k] of `queries`, summed in order of the components."""
+    out = np.zeros(len(at))
+    for own, asked in zip(vectors, queries, strict=True):
+        out += (own[at] - asked[of]) ** 2
     return np.sqrt(out)
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, bits: np.ndarray, norm: np.ndarray, factor: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, k: int) -> pd.DataFrame:
     """The k nearest of one block to each query, by bounds and reranking."""
-    dim = len(centre)
-    turn = rotation(dim)
+    dim, turn = len(centre), rotation(len(centre))
     signs = (np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
-    error = SPREAD * np.sqrt(np.maximum(0.0, 1 - factor**2)) / (factor * np.sqrt(max(dim - 1, 1))) + 1e-5
+    error = (SPREAD * np.sqrt(np.maximum(0.0, 1 - factor**2)) / (factor * np.sqrt(max(dim - 1, 1))) + 1e-5).astype(np.float32)
+    single, over = norm.astype(np.float32), (1 / factor).astype(np.float32)
+    columns, asked = np.ascontiguousarray(vectors.T), np.ascontiguousarray(queries.T)
     found = []
     for at in range(0, len(queries), 64):
         part, part_ids = queries[at : at + 64], query_ids[at : at + 64]
         rest = (part - centre) @ turn.T
         size = np.sqrt((rest * rest).sum(1))
-        unit = rest / np.where(size > 0, size, 1.0)[:, None]
-        inner = (unit.astype(np.float32) @ signs.T) / factor
-        squared = norm[None] ** 2 + size[:, None] ** 2
-        reach = 2 * norm[None] * size[:, None]
-        lower, upper = squared - reach * np.minimum(1.0, inner + error), squared - reach * np.maximum(-1.0, inner - error)
+        inner = (rest / np.where(size > 0, size, 1.0)[:, None]).astype(np.float32) @ signs.T * over
+        size = size.astype(np.float32)[:, None]
         own = ids[None] == part_ids[:, None]
-        upper[own] = np.inf
-        kth = np.partition(upper, k - 1, axis=1)[:, k - 1] if upper.shape[1] >= k else np.full(len(part), np.inf)
-        row, column = np.nonzero((lower <= kth[:, None] * (1 + 1e-9) + 1e-12) & ~own)
+        squared, reach = single**2 + size**2, 2 * single * size
+        # The k vectors that look nearest give a distance that the k nearest do not pass.
+        likely = squared - reach * inner
+        likely[own] = np.inf
+        if likely.shape[1] > k:
+            column = np.argpartition(likely, k - 1, axis=1)[:, :k]
+            row = np.repeat(np.arange(len(part)), k)
+            first = np.where(np.take_along_axis(own, column, 1), np.inf, distances(columns, column.ravel(), asked, row + at).reshape(column.shape))
+            limit = (first.max(1) ** 2 * (1 + 1e-5) + 1e-6).astype(np.float32)
+        else:
+            limit = np.full(len(part), np.inf, np.float32)
+        row, column = np.nonzero((squared - reach * np.minimum(np.float32(1), inner + error) <= limit[:, None]) & ~own)
         for a in range(0, len(row), 1 << 18):  # bounded memory however many rows tie
             r, c = row[a : a + (1 << 18)], column[a : a + (1 << 18)]
-            found.append(pd.DataFrame({"query_id": part_ids[r], "vec_id": ids[c], "score": distances(vectors[c], part[r])}))
+            score = distances(columns, c, asked, r + at)
+            near = score <= np.sqrt(limit[r].astype(np.float64)) * (1 + 1e-5)
+            found.append(pd.DataFrame({"query_id": part_ids[r][near], "vec_id": ids[c][near], "score": score[near]}))
             if len(row) > 1 << 18:
                 found = [nearest(pd.concat(found, ignore_index=True), k)]
     return nearest(pd.concat(found, ignore_index=True), k) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
