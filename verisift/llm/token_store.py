@@ -22,11 +22,13 @@ table gives empty files and no rows.  Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,18 +41,37 @@ from .kernels import U64, mix, window_hashes
 
 WINDOW, MIN, AVERAGE, MAX = 16, 256, 1024, 8192
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: A space between two white characters; there a split at spaces would not be the tokenizer's own.
 _INNER = re.compile(r"\s \s")
 
 
+class _Words(dict):
+    """Ids of words after a space, made when first asked for; two generations of at most REMEMBERED words."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.pop(word, None)
+        if ids is None:
+            ids = self.make(word)
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library.
 
     A byte-level pre-tokenizer parts a text before every space that follows or precedes a
     non-white character, and encodes the parts alone.  So each word, with the space before it,
     is encoded by the library once and remembered; texts with other white space between
-    spaces go to the library whole.
+    spaces go to the library whole.  Words of letters, and those that end in plain marks or hold single line feeds,
+    are parted as the pre-tokenizer would, and go straight to the library's model.
     """
 
     def __init__(self, file: str):
@@ -59,29 +80,38 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def __call__(self, batch: list[str]) -> list[bytes]:
+        self.words, self.pieces = _Words(self._after_space), _Words(self._whole)
+        # The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: 256 + k for k, b in enumerate(rest)}
+        self.space, self.tokenize = chr(self.alphabet[32]), self.tokenizer.model.tokenize
+
+    def _model(self, letters: str, start: str) -> bytes:
+        """Ids of letters, which the pre-tokenizer keeps together with the space before them."""
+        ids = [t.id for t in self.tokenize(start + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.alphabet)))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _after_space(self, word: str) -> bytes:
+        if word.isalpha():
+            return self._model(word, self.space)
         out: list[bytes] = []
-        whole = [bool(_INNER.search(t)) for t in batch]
-        split = [None if w else t.split(" ") for t, w in zip(batch, whole, strict=True)]
-        new = set()
-        for parts in split:
-            if parts:
-                new.update(parts[1:])
-        if len(self.known) > REMEMBERED:  # what this batch meets again stays
-            self.known = {w: self.known[w] for w in new if w in self.known}
-        known = self.known
-        new = [w for w in new if w not in known]
-        known.update(zip(new, self._encode([f" {w}" for w in new]), strict=True))
-        first = iter(self._encode([t if w else parts[0] for t, w, parts in zip(batch, whole, split, strict=True)]))
-        for parts in split:
-            head = next(first)
-            out.append(head if parts is None else head + b"".join([known[w] for w in parts[1:]]))
-        return out
+        for line in word.split("\n"):
+            core = line.rstrip(".,;:!?")
+            if not core.isalpha():
+                return self._whole(f" {word}")
+            ids = self._model(core, "") if out else self.words[core]
+            out.append(ids + self.pieces[line[len(core) :]] if len(core) < len(line) else ids)
+        return self.pieces["\n"].join(out)
+
+    def __call__(self, text: str) -> bytes:
+        if _INNER.search(text):
+            return self._whole(text)
+        first, *rest = text.split(" ")
+        return b"".join([self._whole(first), *map(self.words.__getitem__, rest)])
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -100,9 +130,14 @@ def cuts(ids: np.ndarray) -> list[int]:
     return [*out, n] if at < n else out
 
 
+@functools.cache
+def _compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=3)
+
+
 def pack(ids: np.ndarray) -> bytes:
     small = not len(ids) or ids.max() < 1 << 16
-    return bytes([2 if small else 4]) + zstandard.ZstdCompressor(level=3).compress(ids.astype("<u2" if small else "<u4").tobytes())
+    return bytes([2 if small else 4]) + _compressor().compress(ids.astype("<u2" if small else "<u4").tobytes())
 
 
 def unpack(body: bytes) -> np.ndarray:
@@ -126,11 +161,11 @@ _STAGED = "doc_id long, n_tokens long, recipe binary, root binary, name binary,
 
 def _stage(file: str, end_id: int):
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = per_process(("word-encoder", file), lambda: WordEncoder(file)), set()
+        encoder, seen, end = per_process(("word-encoder", file), lambda: WordEncoder(file)), set(), struct.pack("<I", end_id)
         for batch in slices(batches):
             docs, chunks = [], []
-            for doc, raw in zip(batch.column(0).to_pylist(), encoder(texts(batch.column(1))), strict=True):
-                ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
+            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                ids = np.frombuffer(encoder(text) + end, "<u4")
                 at, recipe, leaves = 0, [], []
                 for to in cuts(ids):
                     part = ids[at:to]
