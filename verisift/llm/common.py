@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that an operator turns into Python objects at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +81,15 @@ def per_process(key: tuple, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps from task to task: the object of one key, the last asked for."""
     held = sys.__dict__.setdefault("_verisift_held", {})
     if key not in held:
-        held.clear()
+        forget()
         held[key] = make()
     return held[key]
+
+
+def forget() -> None:
+    """Gives back what the worker keeps from an earlier operator."""
+    if held := sys.__dict__.get("_verisift_held"):
+        held.clear()
+        gc.collect()
+        with suppress(OSError, AttributeError):  # glibc alone has it
+            ctypes.CDLL(None).malloc_trim(0)

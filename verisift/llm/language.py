@@ -36,7 +36,7 @@ PENALTY = 4.0
 ROUNDS, ENOUGH = 12, 1e-3
 UNDETERMINED = "und"
 #: Words that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Letters: word characters that are no digit or underscore.
 _WORD = re.compile(r"[^\W\d_]+")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, scratch, slices
+from .common import forget, keep, scratch, slices
 from .kernels import U64, WORD_BASE, mix, powers, shingles, utf8, word_hashes
 
 #: Cells of the permutations, and the seed of the second.
@@ -72,6 +72,7 @@ def signatures(docs: DataFrame, width: int, percent: float, lower: bool) -> Data
     bands, rows = bands_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         table = circulant(bands * rows)
         scale = powers(WORD_BASE, rows)
         for batch in slices(batches):

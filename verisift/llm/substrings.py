@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import forget, partitions
 from .kernels import U64, utf8, window_hashes, word_bounds, word_hashes
 
 # Perfect difference sets, by their period.
@@ -128,6 +128,7 @@ def _run(docs: DataFrame, width: int, finish: Callable[[pa.Table, np.ndarray, Wo
     grouped = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).alias("_g"), "*")
 
     def first(table: pa.Table) -> pa.Table:
+        forget()
         return _send(table["_g"][0].as_py(), Words(table, width).anchors()[1], n_buckets)
 
     def second(table: pa.Table, answers: pa.Table) -> pa.Table:

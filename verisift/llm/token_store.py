@@ -41,7 +41,7 @@ from .kernels import U64, mix, window_hashes
 
 WINDOW, MIN, AVERAGE, MAX = 16, 256, 1024, 8192
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: A space between two white characters; there a split at spaces would not be the tokenizer's own.
 _INNER = re.compile(r"\s \s")
 

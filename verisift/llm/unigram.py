@@ -42,7 +42,7 @@ UNIGRAM, BPE = 1, 2
 PENALTY = 10.0
 ZIPF_SHIFT = 2
 #: Segments that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _RUNS = re.compile(" +[^ ]*")
 
 
