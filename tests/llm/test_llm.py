@@ -131,6 +131,16 @@ def test_near_duplicates_equal_brute_force(spark, width, percent):
     assert got == brute_groups(rows, width, percent)
 
 
+@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
+def test_near_copies_of_a_passage_that_many_quote(spark, width, percent):
+    """Every bucket of the two has a quoting document as its centre, which its own words bound out."""
+    passage = " ".join(f"p{k}" for k in range(150))
+    rows = [(k, passage + " " + " ".join(f"own{k}x{i}" for i in range(80))) for k in range(250)]
+    rows += [(1000, passage), (1001, passage.replace("p70 ", "edit ") + " tail")]
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in neardup.near_duplicates(frame(spark, rows), width, percent).collect())
+    assert got == brute_groups(rows, width, percent) and got[-1][2] == 1000
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
     assert [r.kept for r in neardup.near_duplicates(frame(spark, [(1, None), (2, "")])).collect()] == [True, True]

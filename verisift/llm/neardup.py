@@ -157,9 +157,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def unresolved(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members with their components, of the buckets that hold several."""
+    """Members with their components, of the buckets that hold several.  A pair needs nothing more only where one of the two is the centre."""
     placed = keep(members.join(found, members.rep == found.node, "left").drop("node").withColumn("component", F.coalesce("component", "rep")), "placed")
-    several = keep(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high AND size > 2").select("key"), "several")
+    several = keep(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.bool_or(F.col("rep") == F.col("centre")).alias("centred")).where("low < high AND (size > 2 OR NOT centred)").select("key"), "several")
     return keep(placed.join(several, "key"), "unresolved")
 
 
