@@ -340,6 +340,14 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_judges_within_landmarks(spark):
+    notice = "<div><p>This text stands in every article of the site.</p></div>"
+    rows = [(k, f"https://a.example/{k}", page(f"<main><article>{notice}<section><p>Story {k} of its own.</p></section></article></main>")) for k in range(12)]
+    rows += [(100 + k, "https://c.example/", page("<article><div><p>A copy.</p></div></article>")) for k in range(9)]
+    got = sorted((r.page_id, r.text) for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(k, f"Story {k} of its own.") for k in range(12)] + [(100 + k, "A copy.") for k in range(9)]
+
+
 # --- 6: repeated passages --------------------------------------------------
 
 

@@ -12,8 +12,9 @@ A branch below THRESHOLD is removed from each page of its host.
 
 Presentation that says what a branch is decides before entropy does: elements and class words of menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments have importance 0; the content
-landmarks (article, main) have importance 1, and where a page has one, what stands outside it is left out.  A page whose
-whole text the entropy would remove (a host of copies) keeps what the presentation leaves.
+landmarks (article, main) have importance 1, and where a page has one, what stands outside it is left out; the branches
+within it are judged by entropy as any others.  A page whose whole text the entropy would remove (a host of copies) keeps
+what the presentation leaves.
 
 Blocks are the runs of text between block elements; character references are decoded, white space becomes
 one space, empty blocks go, the rest is joined in page order by a line feed; <br> is white space.
@@ -195,11 +196,9 @@ def main_text(page: Page, low: set[str]) -> str:
         up = node.parent
         noisy[k] = node.noise or (up >= 0 and noisy[up])
         within[k] = not noisy[k] and (node.landmark or (up >= 0 and within[up]))
-        weak[k] = not within[k] and ((up >= 0 and weak[up]) or node.path in low)
+        weak[k] = not node.landmark and ((up >= 0 and weak[up]) or node.path in low)
     left = [(k, text) for k, text in page.blocks if not noisy[k]]
-    marked = [text for k, text in left if within[k]]
-    if marked:
-        return "\n".join(marked)
+    left = [(k, text) for k, text in left if within[k]] or left
     strong = [text for k, text in left if not weak[k]]
     return "\n".join(strong or [text for _, text in left])
 
