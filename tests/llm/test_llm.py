@@ -318,6 +318,8 @@ def page(body, head=""):
         (page("<div class='main-with-sidebar'><div class='entry-header'><h1>H</h1></div><p>T</p><div class='post-comments'>C</div><div class='pageFooter'>F</div></div>"), "H\nT"),
         (page("<article><p>unclosed <i>tags<p>second<div>third</article>"), "unclosed tags\nsecond\nthird"),
         (page("<article><table><tr><td>a<td>b<tr><td>c</table></article>"), "a\nb\nc"),
+        (page("<article class=body data-title='The hidden cost of cars' aria-label='a class=ad b'><p title='What hidden=1 means'>Cars</p><p data-hidden>Too</p><p data-x=hidden>And</p><p class='x'hidden>no</p><p HIDDEN=until-found>no</p></article>"), "Cars\nToo\nAnd"),
+        (page("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>"), "So x=2 holds."),
         (page("<article><p>1 < 2 & 3 > 2</p><!-- <p>no</p> --><p hidden>no</p></article>"), "1 < 2 & 3 > 2"),
     ],
 )

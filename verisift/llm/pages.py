@@ -43,7 +43,7 @@ THRESHOLD, DECAY = 0.3, 0.9
 LEAST = 4
 
 # Elements of HTML by what they do to text.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "select", "canvas", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "object", "select", "canvas", "audio", "video"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 BLOCK = {"html", "head", "body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "header", "footer", "nav", "aside", "form", "fieldset", "dialog", "menu", "hgroup", "center", "button", "label", "legend", "noscript"}
 NOISE_TAGS = {"head", "nav", "footer", "aside", "form", "fieldset", "dialog", "menu", "button", "label", "legend"}
@@ -66,7 +66,8 @@ CONTENT_WORDS = {"article", "content", "entry", "post", "story"}
 WHOLE = {"html", "body", "main"}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: An attribute's name and value; a stray quoted string is passed over whole.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?|"[^"]*"|'[^']*'""")
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[A-Za-z]+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)")
@@ -104,7 +105,9 @@ def presentation(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """A node's name, and whether its presentation marks it as noise or as a landmark."""
     if not attributes or attributes.isspace():
         return tag, tag in NOISE_TAGS, tag in LANDMARKS
-    found = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(attributes)}
+    found: dict[str, str] = {}
+    for key, *value in _ATTRIBUTE.findall(attributes):
+        found.setdefault(key.lower(), "".join(value))  # the first of a name counts
     name, marked = tag, bool(set((found.get("role") or "").lower().split()) & NOISE_WORDS)
     for key, sign in (("class", "."), ("id", "#")):
         if found.get(key):
