@@ -517,6 +517,45 @@ def test_rules_are_gated_by_their_keyword():
         assert label and keyword and any(keyword.startswith(g) or g == "licen" for g in licenses.GATE)
 
 
+def sample(parsed, r):
+    """A match of a parsed pattern, its choices made by r."""
+    out = ""
+    for op, x in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(x)
+        elif op == "NOT_LITERAL":
+            out += "q"
+        elif op == "IN":
+            kind, y = r.choice([("CATEGORY", None)] if str(x[0][0]) == "NEGATE" else [(str(k), v) for k, v in x])
+            out += chr(y) if kind == "LITERAL" else chr(r.randint(*y)) if kind == "RANGE" else "q" if y is None else {"CATEGORY_SPACE": " ", "CATEGORY_DIGIT": "1", "CATEGORY_NOT_SPACE": "q", "CATEGORY_WORD": "w"}[str(y)]
+        elif op == "BRANCH":
+            out += sample(r.choice(x[1]), r)
+        elif op == "SUBPATTERN":
+            out += sample(x[3], r)
+        elif op == "MAX_REPEAT":
+            out += "".join(sample(x[2], r) for _ in range(r.randint(x[0], min(x[1], x[0] + 1))))
+        else:
+            assert op in ("AT", "ASSERT_NOT", "ASSERT"), op
+    return out
+
+
+def test_every_match_of_a_rule_passes_its_keyword_and_the_gate():
+    r = random.Random(5)
+    gate = re.compile(rf"\b(?:{'|'.join(map(licenses._literal, licenses.GATE))})", re.I | re.A)
+    for label, keyword, pattern in licenses.RULES:
+        found = {x for x in (sample(re._parser.parse(pattern), r) for _ in range(60)) if re.search(pattern, x, re.A)}
+        assert found, pattern
+        for x in found:
+            assert keyword in x and gate.search(x), (label, keyword, x)
+
+
+def test_names_without_the_keyword_of_another_name(spark):
+    rows = [(1, "MIT No Attribution"), (2, "CreativeML Open RAIL-M"), (3, "the Expat License"), (4, "Unicode Terms of Use"), (5, "OpenRAIL-M, MIT-0")]
+    got = {x.doc_id: x.method_labels for x in licenses.scan(frame(spark, rows)).collect()}
+    assert got == {1: "mit-0", 2: "openrail", 3: "mit", 4: "unicode", 5: "mit-0,openrail"}
+
+
 # --- 10: token store -------------------------------------------------------
 
 

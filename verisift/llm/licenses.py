@@ -108,7 +108,8 @@ RULES: list[tuple[str, str, str]] = [
     *_family("ms-pl", "microsoft", r"microsoft\s+public\s+licen[cs]e", "1.0"),
     *_family("ms-rl", "microsoft", r"microsoft\s+reciprocal\s+licen[cs]e", "1.0"),
     *_family("ecl", "educational", r"educational\s+community\s+licen[cs]e", "1.0 2.0"),
-    *_family("openrail", "openrail", r"(?:creativeml\s+)?open\s?rail(?:-m|\+\+-m)?", "1.0", r"[\s-]*"),
+    *_family("openrail", "openrail", r"(?:creativeml\s+)?openrail(?:-m|\+\+-m)?", "1.0", r"[\s-]*"),
+    *_family("openrail", "rail", r"(?:creativeml\s+)?open\srail(?:-m|\+\+-m)?", "1.0", r"[\s-]*"),
     # BSD and MIT, names and grants.
     ("bsd-4-clause", "bsd", r"(?:original|old|4-clause|four-clause)[\s,-]+bsd|bsd[\s-]+(?:4-clause|4\s+clause|old)"),
     ("bsd-3-clause", "bsd", r"(?:new|modified|revised|3-clause|three-clause)[\s,-]+bsd|bsd[\s-]+(?:3-clause|3\s+clause|new)"),
@@ -118,8 +119,10 @@ RULES: list[tuple[str, str, str]] = [
     ("bsd", "redistribution", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms,?\s+with\s+or\s+without\s+modification"),
     ("bsd-3-clause", "endorse", r"may\s+be\s+used\s+to\s+endorse\s+or\s+promote\s+products\s+derived\s+from\s+this\s+software"),
     ("bsd-4-clause", "advertising", r"all\s+advertising\s+materials\s+mentioning\s+features\s+or\s+use\s+of\s+this\s+software"),
-    ("mit", "mit", r"\b(?:the\s+)?(?:mit|expat)(?:/x11|-style)?\s+licen[cs]ed?\b"),
-    ("mit-0", "mit-0", r"\bmit-0\b|\bmit\s+no\s+attribution\b"),
+    ("mit", "mit", r"\b(?:the\s+)?mit(?:/x11|-style)?\s+licen[cs]ed?\b"),
+    ("mit", "expat", r"\b(?:the\s+)?expat(?:/x11|-style)?\s+licen[cs]ed?\b"),
+    ("mit-0", "mit-0", r"\bmit-0\b"),
+    ("mit-0", "attribution", r"\bmit\s+no\s+attribution\b"),
     ("mit", "permission", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person\s+obtaining\s+a\s+copy"),
     ("isc", "permission", r"permission\s+to\s+use,\s+copy,\s+modify,?\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose"),
     ("x11", "x11", r"\bx11\s+licen[cs]e\b"),
@@ -152,9 +155,18 @@ RULES: list[tuple[str, str, str]] = [
     ("dual", "dual", r"\bdual[\s-]+licen[cs]ed\b"),
     ("unknown-license", "licen", r"(?:released|licen[cs]ed|distributed|available|published)\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?[^\s.,;]+(?:\s+[^\s.,;]+){0,4}\s+licen[cs]e\b"),
 ]
+_GROUP = re.compile(r"(?<!\\)\((?:[^()\\]|\\.)*\)[?*]?")
+
+
+def _needs_licen(pattern: str) -> bool:
+    """Whether no match is without "licen" at a word's start: it stands outside all groups and alternatives."""
+    while (outer := _GROUP.sub("a", pattern)) != pattern:
+        pattern = outer
+    return "|" not in pattern and bool(re.search(r"(?<![a-z])licen", pattern))
+
+
 #: A document takes part if one of these begins a word of it.  A pattern that cannot match without "licen" at a word's start needs no other.
-_ALWAYS = re.compile(r"(?<![a-z])licen(?!.*\|(?![^(]*\)))")
-GATE = sorted({"licen"} | {k for _, k, p in RULES if not _ALWAYS.search(p) or re.search(r"\|(?![^(]*\))", p)} | {"0bsd"})
+GATE = sorted({"licen"} | {k for _, k, p in RULES if not _needs_licen(p)} | {"0bsd"})
 
 
 def lower_ascii(text: Column) -> Column:
