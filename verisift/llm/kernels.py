@@ -1,9 +1,11 @@
 """Vectorised text kernels shared by the operators of this subpackage.
 
 They work on the raw UTF-8 buffer of an Arrow string array: no Python string is
-made for a word.  Hashes are 64-bit polynomials over an odd base modulo 2**64,
-finished by an avalanche step; two different sequences share a value with a
-chance of about 2**-60.
+made for a word.  A word's hash takes eight bytes at a time through a keyed bijection
+with avalanche (words over LONG bytes: XXH3), so no family of words collides for its
+algebra alone; two different words share a value with a chance of about 2**-63.  Hashes of
+short windows chain the words' hashes alike; long windows take a polynomial of them, which two
+different windows of fewer than 1,000 words share with a chance of about 2**-54.
 """
 
 from __future__ import annotations
@@ -13,11 +15,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
-#: Odd bases of the byte and the word polynomials.
-BYTE_BASE = 0x9E3779B97F4A7C15
-WORD_BASE = 0xD6E8FEB86659FD93
+#: Odd base of the word polynomials, and of a second one that is independent of it.
+WORD_BASE, OTHER_BASE = 0xD6E8FEB86659FD93, 0xA3C59AC2F1039B6D
+#: Keys of the byte and the window hashes.
+BYTE_KEY, WINDOW_KEY, OTHER_KEY = 0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D, 0x71D67FFFEDA60000
+#: Bytes of a word above which it is hashed alone, and words of a window up to which they are chained.
+LONG, CHAINED = 256, 8
+#: Keeps the first k bytes of eight.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 #: Bytes that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -25,7 +33,7 @@ WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes that one call handles; a longer text is handled alone.
-BLOCK_BYTES = 1 << 17
+BLOCK_BYTES = 1 << 18
 
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -101,9 +109,20 @@ def word_bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each span of bytes."""
-    total = np.zeros(len(buf) + 1, U64)
-    np.cumsum((buf.astype(U64) + U64(1)) * powers(BYTE_BASE, len(buf)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(inverse(BYTE_BASE), len(buf) + 1)[starts] + (ends - starts).astype(U64))
+    sizes = ends - starts
+    out = mix(sizes.astype(U64) * U64(BYTE_KEY) + U64(BYTE_KEY))
+    eights = np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    live = np.flatnonzero(sizes <= LONG) if len(sizes) and sizes.max() > LONG else slice(None)
+    at, left, state = starts[live], sizes[live], out[live]
+    while len(at):
+        state = mix((state ^ (eights[at] & MASKS[np.minimum(left, 8)])) + U64(BYTE_KEY))
+        out[live] = state
+        more = np.flatnonzero(left > 8)
+        live = more if isinstance(live, slice) else live[more]
+        at, left, state = at[more] + 8, left[more] - 8, state[more]
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(buf[starts[k] : ends[k]].tobytes(), BYTE_KEY)
+    return out
 
 
 def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -119,21 +138,31 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple
     return np.concatenate(out) if out else np.zeros(0, U64), np.cumsum(np.concatenate(counts))
 
 
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, width: int, base: int = WORD_BASE) -> np.ndarray:
     """A hash of each `width` consecutive words, by its first word; rows are not parted here."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, U64)
+    if width <= CHAINED:
+        out = mix(words[:n] + U64(WINDOW_KEY))
+        for k in range(1, width):
+            out = mix((out ^ words[k : k + n]) + U64(WINDOW_KEY))
+        return out
     out, step = np.empty(n, U64), 1 << 20
     for at in range(0, n, step):
         part = words[at : at + step + width - 1]
         total = np.zeros(len(part) + 1, U64)
-        np.cumsum(part * powers(WORD_BASE, len(part)), out=total[1:])
+        np.cumsum(part * powers(base, len(part)), out=total[1:])
         m = len(part) - width + 1
-        out[at : at + m] = mix((total[width:] - total[:m]) * powers(inverse(WORD_BASE), m))
+        out[at : at + m] = mix((total[width:] - total[:m]) * powers(inverse(base), m))
     return out
 
 
+def other_window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """A second hash of the same windows, independent of the first: both together are 128 bits."""
+    return window_hashes(mix(words ^ U64(OTHER_KEY)), width, OTHER_BASE)
+
+
 def shingles(words: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each row, ascending within it, and n + 1 offsets.  A row
     of fewer words has one shingle, the whole; a row of none has none."""
@@ -146,8 +175,7 @@ def shingles(words: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarra
             np.not_equal(own[1:], own[:-1], out=keep[1:])
             sizes.append(own[keep])
         elif n:
-            whole = sum(int(w) * pow(WORD_BASE, k, 1 << 64) for k, w in enumerate(words[a : a + n])) + n
-            sizes.append(mix(np.array([whole & (1 << 64) - 1], U64)))
+            sizes.append(mix(window_hashes(words[a : a + n], n) + U64(n)))
         else:
             sizes.append(full[:0])
     return np.concatenate([full[:0], *sizes]), np.cumsum([0, *map(len, sizes)])

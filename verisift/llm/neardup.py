@@ -9,16 +9,19 @@ coordinates are the buckets.  Pairs are linked if 100 * intersection >= percent
 No group is expanded into its pairs.
   1. Documents of equal sets form one class, known by its smallest doc_id; only representatives go on.
   2. Each bucket is a star: every member is verified against its smallest.
-  3. Where a bucket then still has several components, a shingle that no other candidate has bounds what its document
-     can share.  Members of other components are verified against the member of least such share, the most central one.
-  4. The rest is exact: all pairs of different components whose bounds reach the threshold are verified.
+  3. The candidates of buckets that then still hold several components meet by rare shingles.  Each orders its shingles by
+     the number of candidates that have them, rarest first.  Two linked sets share one of the first n - ceil(t * n) + 1, so a
+     document whose first ones are all its own is linked with nothing else and goes; the counts are then taken again.
+  4. Where candidates of several components share such a shingle, all are verified against the one that has the fewest
+     rarer ones, the most central; then the rest, pair by pair, where sizes and places let the overlap reach the threshold.
   5. Components of the verified links come from alternating large-star and small-star rounds.
 
 The chance to miss a link of exactly the threshold t is (1 - t**rows)**bands, below 1e-5 for the numbers here.
 
 Null texts count as empty.  Rows that share a doc_id are one document for links (a link of one is a link of both).
 A row without a doc_id is linked with nothing: its component is null and it is kept.  An empty table gives no
-rows; other columns are ignored.
+rows; other columns are ignored.  A text is held whole by one task at a time, whatever its length; equal ids and sizes are ties
+that the smaller id wins.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, keep, scratch, slices
@@ -37,8 +40,10 @@ from .kernels import U64, WORD_BASE, mix, powers, shingles, utf8, word_hashes
 CELLS, SEED = 1 << 20, 71
 #: Cells of a document that are gathered at once.
 GATHER = 2048
-#: Bits of the filter that spares a shuffle the texts of documents in no pair; 64 to a row, so it never passes 65,536 rows.
-FILTER_BITS = 1 << 22
+#: Bits for each document of the filter that spares a shuffle the texts of documents in no pair, and bits of all at most: 8 MB are broadcast.
+FILTER_SHARE, FILTER_BITS = 16, 1 << 26
+#: Times that the shingles' counts are taken while the candidates become fewer.
+RECOUNTS = 3
 
 
 def bands_for(percent: float) -> tuple[int, int]:
@@ -95,10 +100,13 @@ def signatures(docs: DataFrame, width: int, percent: float, lower: bool) -> Data
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, text) of the wanted documents.  A bit map of fixed size, whatever the tables', drops most others before the join."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits"))
-    near = docs.withColumn("_slot", slot).join(F.broadcast(bits), F.shiftright("_slot", 6) == F.col("word")).where("(bits >> CAST(_slot & 63 AS INT)) & 1 = 1").select("doc_id", "text")
+    """(doc_id, text) of the wanted documents.  A bit map by their number drops most others before the join; where it would be too large to broadcast, the join does all."""
+    bits = FILTER_SHARE << max(16, wanted.count()).bit_length()
+    if bits > FILTER_BITS:
+        return docs.select("doc_id", "text").join(wanted, "doc_id")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits"))
+    near = docs.withColumn("_slot", slot).join(F.broadcast(words), F.shiftright("_slot", 6) == F.col("word")).where("(bits >> CAST(_slot & 63 AS INT)) & 1 = 1").select("doc_id", "text")
     return near.join(wanted, "doc_id")
 
 
@@ -122,17 +130,25 @@ def verified(pairs: DataFrame, held: DataFrame, width: int, percent: float, lowe
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def alone(members: DataFrame, held: DataFrame, width: int, lower: bool) -> DataFrame:
-    """(doc_id, own): how many shingles of a document no other of these documents has."""
+def rare_shingles(candidates: DataFrame, held: DataFrame, width: int, percent: float, lower: bool) -> DataFrame:
+    """(rep, n, value, place): the shared ones among the first n - ceil(t * n) + 1 shingles of each candidate (rep, n), rarest first, places from 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             values, offs = shingles(*word_hashes(*utf8(batch.column(1)), lower), width)
-            yield pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), np.diff(offs)), pa.int64()), pa.array(values.view(np.int64))], ["doc_id", "value"])
+            n, total = np.diff(offs), np.concatenate([[0], np.cumsum(values.view(np.int64))])
+            yield pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), n), pa.int64()), pa.array(np.repeat(n, n)), pa.array(np.repeat(total[offs[1:]] - total[offs[:-1]], n)), pa.array(values.view(np.int64))], ["rep", "n", "own", "value"])
 
-    each = held.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").mapInArrow(run, "doc_id long, value long")
-    single = each.groupBy("value").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
-    return single.groupBy("doc_id").agg(F.count("*").alias("own"))
+    own = ["rep", "n", "own"]  # a document of several rows has several sets
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(float(percent)) / 100) + 1
+    rows = held.join(candidates.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text").mapInArrow(run, "rep long, n long, own long, value long")
+    for _ in range(RECOUNTS):
+        shared = keep(rows.select(*own, "value").join(rows.groupBy("value").agg(F.count("*").alias("had_by")).where("had_by > 1"), "value"), "shared-shingles")
+        # Those that no other has come first: a set goes if they are all of its first ones.
+        live = shared.groupBy(*own).agg(F.count("*").alias("n_shared")).where(F.col("n") - F.col("n_shared") < first)
+        rows = keep(shared.join(live, own), "live-shingles")
+    place = F.col("n") - F.col("n_shared") + F.row_number().over(Window.partitionBy(*own).orderBy("had_by", "value")) - 1
+    return rows.withColumn("place", place).where(F.col("place") < first).select("rep", "n", "value", "place")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -156,11 +172,16 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def unresolved(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members with their components, of the buckets that hold several.  A pair needs nothing more only where one of the two is the centre."""
-    placed = keep(members.join(found, members.rep == found.node, "left").drop("node").withColumn("component", F.coalesce("component", "rep")), "placed")
-    several = keep(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.bool_or(F.col("rep") == F.col("centre")).alias("centred")).where("low < high AND (size > 2 OR NOT centred)").select("key"), "several")
-    return keep(placed.join(several, "key"), "unresolved")
+def placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (rep, ...) with their components."""
+    return members.join(found, members.rep == found.node, "left").drop("node").withColumn("component", F.coalesce("component", "rep"))
+
+
+def unresolved(members: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Members with their components, of the keys that hold several."""
+    now = keep(placed(members, found), "placed")
+    several = now.groupBy(key).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(key)
+    return keep(now.join(several, key), "unresolved")
 
 
 def extended(edges: DataFrame, found: DataFrame, pairs: DataFrame, held: DataFrame, width: int, percent: float, lower: bool) -> tuple[DataFrame, DataFrame]:
@@ -203,25 +224,21 @@ def class_components(docs: DataFrame, signed: DataFrame, width: int, percent: fl
     bridges = linked.join(several, "doc_id").join(classes, ["n", "h1", "h2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     edges = keep(edges.union(bridges), "star-links")
     found = keep(components(edges), "components")
-    # Buckets with several components.
-    rest = unresolved(members, found)
+    # Buckets with several components; in one of two members the pair has been verified.
+    crowded = members.join(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 2").select("key"), "key")
+    rest = unresolved(crowded, found, "key").select("rep", "n").distinct()
     if not rest.isEmpty():
-        own = keep(alone(rest, held, width, lower), "own-shingles")
-        # What x shares with any y is at most n - own; the union is then at least y's size + own.
-        bounded = members.join(own, members.rep == own.doc_id, "left").select("key", "centre", "rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
-        bounded = bounded.withColumn("most", F.floor((F.col("n") - F.col("own")) * 100 / F.lit(float(percent)) - F.col("own")))
-        bounded = keep(bounded.where(F.col("most") * 100 >= percent * (F.col("n") - F.col("own"))), "bounded")
-        reach = unresolved(bounded, found)
-        middle = keep(reach.groupBy("key").agg(F.min(F.struct(F.col("own") / F.col("n"), "rep", "n", "most", "component")).alias("c")).select("key", "c.*").toDF("key", "share", "rep_b", "n_b", "most_b", "component_b"), "middles")
-        fits = (F.col("n_b") <= F.col("most")) & (F.col("n") <= F.col("most_b"))
-        star = reach.join(middle, "key").where((F.col("component") != F.col("component_b")) & fits)
-        more = star.groupBy(F.col("rep_b").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("buckets")).select("a", "b")
-        edges, found = extended(edges, found, more, held, width, percent, lower)
-        reach = unresolved(bounded, found).join(middle.select("key", F.col("rep_b").alias("middle")), "key")
-        tested = (F.col("rep") == F.col("centre")) | (F.col("rep") == F.col("middle"))
-        x = reach.where(~tested).select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "most", "component")])
-        y = reach.where(~tested).select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "most", "component")])
-        can = (F.col("component_a") != F.col("component_b")) & (F.col("rep_a") < F.col("rep_b")) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
-        pairs = x.join(y, "key").where(can).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-        edges, found = extended(edges, found, pairs, held, width, percent, lower)
+        rare = keep(rare_shingles(rest, held, width, percent, lower), "rare-shingles")
+        reach = unresolved(rare, found, "value")
+        middle = keep(reach.groupBy("value").agg(F.min(F.struct("place", "n", "rep", "component")).alias("c")).select("value", "c.*").toDF("value", "place_b", "n_b", "rep_b", "component_b"), "middles")
+        names = ["rep", "n", "place", "component"]
+        side = lambda df, s: df.select("value", *[F.col(c).alias(c + s) for c in names])
+        # Sizes and what follows the shared shingle bound the overlap.
+        needed = F.lit(float(percent)) * (F.col("n_a") + F.col("n_b"))
+        fits = (F.col("component_a") != F.col("component_b")) & (F.lit(100.0 + percent) * F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= needed)
+        star = side(reach, "_a").join(middle, "value").where(fits)
+        edges, found = extended(edges, found, star.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct(), held, width, percent, lower)
+        reach = unresolved(rare, found, "value").join(middle.select("value", F.col("rep_b").alias("middle")), "value").where("rep <> middle")
+        pairs = side(reach, "_a").join(side(reach, "_b"), "value").where(fits & (F.col("rep_a") < F.col("rep_b")))
+        edges, found = extended(edges, found, pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), held, width, percent, lower)
     return keep(classes.join(found, classes.rep == found.node, "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component")), "class-components", for_result=True)
