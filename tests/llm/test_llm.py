@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import same
 from pyspark.sql import functions as F
@@ -141,6 +142,29 @@ def test_near_copies_of_a_passage_that_many_quote(spark, width, percent):
     assert got == brute_groups(rows, width, percent) and got[-1][2] == 1000
 
 
+def test_a_bucket_of_many_heavily_edited_copies(spark):
+    """Copies that share buckets, most of them linked with none: neither lost links nor all pairs."""
+    r = random.Random(11)
+    base = " ".join(f"b{k}" for k in range(120))
+    rows = [(k, edited(base, r, r.randint(0, 14))) for k in range(500)]
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in neardup.near_duplicates(frame(spark, rows), 3, 85).collect())
+    assert got == brute_groups(rows, 3, 85)
+
+
+def test_words_of_any_structure_have_their_own_hash():
+    from verisift.llm import kernels
+
+    one = "a"
+    while len(one) < 4096:  # the Thue-Morse word, which any polynomial modulo 2**64 takes for its complement
+        one += one.translate(str.maketrans("ab", "ba"))
+        hashes, _ = kernels.word_hashes(*kernels.utf8(pa.array([f"{one} {one.translate(str.maketrans('ab', 'ba'))} x{one}"])))
+        assert len(set(hashes.tolist())) == 3
+    texts = ["the cat", "thecat", "cat the", "x" * 7, "x" * 8, "x" * 9, "x" * 16, "x" * 17, "x" * 300, "\x00", "\x00\x00"]
+    each = [tuple(kernels.word_hashes(*kernels.utf8(pa.array([t])))[0].tolist()) for t in texts]
+    together, offs = kernels.word_hashes(*kernels.utf8(pa.array(texts)))
+    assert each == [tuple(together[a:b].tolist()) for a, b in itertools.pairwise(offs.tolist())] and len({x for t in each for x in t}) == 11
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
     assert [r.kept for r in neardup.near_duplicates(frame(spark, [(1, None), (2, "")])).collect()] == [True, True]
@@ -563,18 +587,43 @@ def test_token_store_equals_the_library(spark, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    rows = [x for x in ODD if x[0] not in (9, 10, None)] + [(30, "a \n b \n \n c"), (31, "<|endoftext|> x"), *[(100 + k, x) for k, (_, x) in enumerate(random_docs(30, 4, most=2000))], (90, "copy " * 3000), (91, "copy " * 3000)]
+    rows = [x for x in ODD if x[0] not in (9, 10, None)] + [(30, "a \n b \n \n c"), (31, "<|endoftext|> x"), (32, "a <|endoftext|> b"), (33, "a  "), (34, "  a   b \n  c"), (35, "x<|endoftext|>"), (36, "\u00a0 \u2003 z \x1c  \x85 y"), (37, " "), (38, "it's we'll  I'M 12ab\n\n "), *[(100 + k, x) for k, (_, x) in enumerate(random_docs(30, 4, most=2000))], (90, "copy " * 3000), (91, "copy " * 3000)]
     got = token_store.token_store(frame(spark, rows), queries.tokenizer_path("byte_bpe_50k.json"), at=str(tmp_path / "store")).orderBy("doc_id").collect()
     at = 0
     for (i, text), r in zip(sorted(rows), got, strict=True):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.verified) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True), i
         at += len(ids)
+    stored = {r.doc_id: r for r in token_store.read_ids(spark, str(tmp_path / "store")).collect()}
+    assert all(stored[i].verified and stored[i].ids == [*t.encode(text or "", add_special_tokens=False).ids, 0] for i, text in rows) and len(stored) == len(rows)
     chunks = spark.read.parquet(str(tmp_path / "store/chunks"))
     assert chunks.count() == chunks.select("name").distinct().count()
 
 
+def test_encoder_equals_the_library_on_odd_strings():
+    from tokenizers import Tokenizer
+
+    file = queries.tokenizer_path("byte_bpe_50k.json")
+    t, own, r = Tokenizer.from_file(file), token_store.WordEncoder(file), random.Random(8)
+    parts = [" ", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "a", "Be", "the", "12", "'s", "é", "日", "😀", ".", "...", "_", "\x00", "<|endoftext|>", "Ġ"]
+    batch = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(4000)]
+    for at in range(0, 4000, 500):
+        for text, ids in zip(batch[at : at + 500], own(batch[at : at + 500]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_manifest_is_the_merkle_root_of_the_documents(spark, tmp_path):
+    at = str(tmp_path / "store")
+    token_store.write_store(spark.createDataFrame([(k, f"text {k}") for k in range(23)], DOC).union(spark.createDataFrame([(None, "same")] * 40, DOC)), at, queries.tokenizer_path("byte_bpe_50k.json"), 0)
+    by_part: dict = {}
+    for r in token_store._recipes(spark, at).orderBy("rid").collect():
+        by_part.setdefault(r.part, []).append(bytes(r.root))
+    assert {r.part: bytes(r.root) for r in spark.read.parquet(f"{at}/manifest").collect()} == {k: token_store.merkle(v) for k, v in by_part.items()}
+    assert len(by_part) > 1 and max(map(len, by_part.values())) < 40  # rows without an id are dealt out
+    assert token_store.store_is_whole(spark, at) and len(token_store.manifest_root(spark, at)) == 16
+    assert token_store.manifest_root(spark, at) == token_store.merkle([token_store.merkle(by_part[k]) for k in sorted(by_part)])
+
+
 def test_token_store_finds_damage(spark, tmp_path):
     at = str(tmp_path / "store")
     token_store.write_store(spark.createDataFrame([(1, "some words here"), (2, "other words")], DOC), at, queries.tokenizer_path("byte_bpe_50k.json"), 0)
@@ -598,11 +647,12 @@ def test_shared_ids_and_empty_table(spark):
 
 
 def test_cuts_follow_the_content():
+    cuts = lambda ids: token_store.cuts(len(ids), token_store.marks(ids).tolist())
     ids = np.random.default_rng(0).integers(0, 50_000, 60_000).astype("<u4")
-    a, b = token_store.cuts(ids), token_store.cuts(np.concatenate([ids[:100][::-1], ids]))
+    a, b = cuts(ids), cuts(np.concatenate([ids[:100][::-1], ids]))
     assert a[-1] == 60_000 and max(np.diff([0, *a])) <= token_store.MAX
     assert len({x + 100 for x in a} & set(b)) > 0.8 * len(a)
-    assert token_store.cuts(np.zeros(1, "<u4")) == [1] and token_store.cuts(np.zeros(20_000, "<u4"))[-1] == 20_000
+    assert cuts(np.zeros(1, "<u4")) == [1] and cuts(np.zeros(20_000, "<u4"))[-1] == 20_000
 
 
 # --- pipeline --------------------------------------------------------------

@@ -15,9 +15,12 @@ Files, below one folder:
            recipe binary: 16 bytes of name and 4 bytes of size (big-endian) for each chunk,
            root binary(16)
 
+  manifest part, n_docs, root: the Merkle root over the documents' roots of each recipe file, in order
+
 Null texts count as empty: such a document holds the end id alone.  Rows that share a
-doc_id (or have none: they come first) are documents of their own, in any order.  An empty
-table gives empty files and no rows.  Other columns are ignored.
+doc_id (or have none: they come first) are documents of their own, in any order, and dealt among tasks.  A very long text is one
+stream, held whole by the task that encodes it and by the one that joins its chunks.  An empty table gives empty files and
+no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,38 +43,19 @@ from .common import drop_dir, partitions, per_process, shared_dir, slices, texts
 from .kernels import U64, mix, window_hashes
 
 WINDOW, MIN, AVERAGE, MAX = 16, 256, 1024, 8192
-#: Words whose ids a Python worker remembers.
+#: Words whose ids a Python worker remembers, in each of two generations.
 REMEMBERED = 200_000
-#: A space between two white characters; there a split at spaces would not be the tokenizer's own.
-_INNER = re.compile(r"\s \s")
-
-
-class _Words(dict):
-    """Ids of words after a space, made when first asked for; two generations of at most REMEMBERED words."""
-
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.pop(word, None)
-        if ids is None:
-            ids = self.make(word)
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
+#: A space between white characters, or between one and the text's end; there a split at spaces would not be the tokenizer's own.
+_INNER = re.compile(r"\s (?:\s|\Z)")
 
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library.
 
-    A byte-level pre-tokenizer parts a text before every space that follows or precedes a
-    non-white character, and encodes the parts alone.  So each word, with the space before it,
-    is encoded by the library once and remembered; texts with other white space between
-    spaces go to the library whole.  Words of letters, and those that end in plain marks or hold single line feeds,
-    are parted as the pre-tokenizer would, and go straight to the library's model.
+    A byte-level pre-tokenizer parts a text before every space that follows or precedes a non-white character, and encodes
+    the parts alone.  So words, each with the space before it, can be encoded in any company: those of a batch that were not
+    met before go to the library in one call, and are parted again where an id begins with the space.  Texts with other white space
+    between spaces, and those that hold an added token, go to the library whole.
     """
 
     def __init__(self, file: str):
@@ -79,48 +63,71 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
-        self.words, self.pieces = _Words(self._after_space), _Words(self._whole)
-        # The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in plain]
-        self.alphabet = {b: 256 + k for k, b in enumerate(rest)}
-        self.space, self.tokenize = chr(self.alphabet[32]), self.tokenizer.model.tokenize
-
-    def _model(self, letters: str, start: str) -> bytes:
-        """Ids of letters, which the pre-tokenizer keeps together with the space before them."""
-        ids = [t.id for t in self.tokenize(start + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.alphabet)))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _after_space(self, word: str) -> bytes:
-        if word.isalpha():
-            return self._model(word, self.space)
-        out: list[bytes] = []
-        for line in word.split("\n"):
-            core = line.rstrip(".,;:!?")
-            if not core.isalpha():
-                return self._whole(f" {word}")
-            ids = self._model(core, "") if out else self.words[core]
-            out.append(ids + self.pieces[line[len(core) :]] if len(core) < len(line) else ids)
-        return self.pieces["\n"].join(out)
-
-    def __call__(self, text: str) -> bytes:
-        if _INNER.search(text):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        return b"".join([self._whole(first), *map(self.words.__getitem__, rest)])
-
-
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one stream."""
-    n, out, at = len(ids), [], 0
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        space = next(t for t in self.tokenizer.get_vocab() if t and self.tokenizer.decode([self.tokenizer.token_to_id(t)]) == " ")
+        self.begins = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        for token, ident in self.tokenizer.get_vocab().items():
+            self.begins[ident] = token.startswith(space)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([_INNER.pattern, *map(re.escape, added)]))
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words after a space."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) != len(words):  # an id that holds two spaces, or a space alone
+            self.known.update(zip(words, self._ids([f" {w}" for w in words]), strict=True))
+            return
+        raw, ends = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
+        self.known.update(zip(words, [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
+
+    def __call__(self, batch: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(batch)
+        split = [None if self.whole.search(t) else t.split(" ") for t in batch]
+        odd = [k for k, parts in enumerate(split) if parts is None]
+        for k, ids in zip(odd, self._ids([batch[k] for k in odd]), strict=True):
+            out[k] = ids
+        plain = [k for k, parts in enumerate(split) if parts is not None]
+        firsts = self._ids([split[k][0] for k in plain])
+        words: set[str] = set()
+        for k in plain:
+            words.update(split[k][1:])
+        if len(self.known) > REMEMBERED:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = []
+        for w in words:
+            if w not in known:
+                if w in old:
+                    known[w] = old[w]
+                else:
+                    new.append(w)
+        new.sort()
+        if "" in words and "" not in known:
+            new = [w for w in new if w]
+            known[""] = self._ids([" "])[0]
+        for at in range(0, len(new), 1 << 14):
+            self._learn(new[at : at + (1 << 14)])
+        for k, first in zip(plain, firsts, strict=True):
+            out[k] = b"".join([first, *map(known.__getitem__, split[k][1:])])
+        return out
+
+
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Where the last WINDOW ids ask for a cut."""
+    hashes = window_hashes(mix(ids.astype(U64)), WINDOW)
+    return np.flatnonzero(hashes & U64(AVERAGE - 1) == 0) + WINDOW
+
+
+def cuts(n: int, asked: list[int]) -> list[int]:
+    """Ends of the chunks of a stream of n ids that asks for cuts there; those with fewer than MIN ids before them do not count, so a window never reaches over the stream's start."""
+    out, at = [], 0
     if n > MIN:
-        hashes = window_hashes(mix(ids.astype(U64)), WINDOW)
-        marks = np.flatnonzero(hashes & U64(AVERAGE - 1) == 0) + WINDOW
-        for mark in [*marks.tolist(), n]:
+        for mark in [*asked, n]:
             while mark - at > MAX:
                 at += MAX
                 out.append(at)
@@ -148,11 +155,19 @@ def name_of(ids: np.ndarray) -> bytes:
     return hashlib.blake2b(ids.astype("<u4").tobytes(), digest_size=16).digest()
 
 
+def _leaf(value: bytes) -> bytes:
+    return hashlib.blake2b(b"\0" + value, digest_size=16).digest()
+
+
+def _node(left: bytes, right: bytes) -> bytes:
+    return hashlib.blake2b(b"\1" + left + right, digest_size=16).digest()
+
+
 def merkle(leaves: list[bytes]) -> bytes:
     """Root of a binary hash tree; an odd node goes up as it is."""
-    level = [hashlib.blake2b(b"\0" + x, digest_size=16).digest() for x in leaves]
+    level = [_leaf(x) for x in leaves]
     while len(level) > 1:
-        level = [hashlib.blake2b(b"\1" + b"".join(level[k : k + 2]), digest_size=16).digest() if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+        level = [_node(level[k], level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
     return level[0] if level else bytes(16)
 
 
@@ -164,18 +179,23 @@ def _stage(file: str, end_id: int):
         encoder, seen, end = per_process(("word-encoder", file), lambda: WordEncoder(file)), set(), struct.pack("<I", end_id)
         for batch in slices(batches):
             docs, chunks = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                ids = np.frombuffer(encoder(text) + end, "<u4")
-                at, recipe, leaves = 0, [], []
-                for to in cuts(ids):
-                    part = ids[at:to]
-                    leaves.append(name := name_of(part))
-                    recipe.append(name + (to - at).to_bytes(4, "big"))
+            streams = [ids + end for ids in encoder(texts(batch.column(1)))]
+            whole, at = np.frombuffer(b"".join(streams), "<u4"), 0
+            asked = marks(whole)
+            places = np.searchsorted(asked, np.cumsum([0, *(len(x) // 4 for x in streams)])).tolist()
+            for k, (doc, stream) in enumerate(zip(batch.column(0).to_pylist(), streams, strict=True)):
+                n = len(stream) // 4
+                recipe, leaves, last = [], [], 0
+                for to in cuts(n, (asked[places[k] : places[k + 1]] - at).tolist()):
+                    body = stream[4 * last : 4 * to]
+                    leaves.append(name := hashlib.blake2b(body, digest_size=16).digest())
+                    recipe.append(name + (to - last).to_bytes(4, "big"))
                     if name not in seen:
                         seen.add(name)
-                        chunks.append((None, None, None, None, name, to - at, pack(part)))
-                    at = to
-                docs.append((doc, len(ids), b"".join(recipe), merkle(leaves), None, None, None))
+                        chunks.append((None, None, None, None, name, to - last, pack(whole[at + last : at + to])))
+                    last = to
+                at += n
+                docs.append((doc, n, b"".join(recipe), merkle(leaves), None, None, None))
             if len(seen) > REMEMBERED:
                 seen = set()
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
@@ -191,11 +211,56 @@ def write_store(docs: DataFrame, at: str, tokenizer: str, end_id: int) -> None:
     docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_stage(tokenizer, end_id), _STAGED).write.parquet(f"{at}/staged")
     staged = spark.read.schema(_STAGED).parquet(f"{at}/staged")
     staged.where("name is not null").select("name", "n", "body").dropDuplicates(["name"]).write.option("compression", "none").parquet(f"{at}/chunks")
-    recipes = staged.where("recipe is not null").select("doc_id", "n_tokens", "recipe", "root")
-    recipes.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id").select(F.monotonically_increasing_id().alias("rid"), "*").write.parquet(f"{at}/recipes")
+    # The place in the staged files parts rows of one id (or of none) among tasks.
+    recipes = staged.where("recipe is not null").select("doc_id", "n_tokens", "recipe", "root").withColumn("place", F.monotonically_increasing_id())
+    ordered = recipes.repartitionByRange(partitions(spark), "doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")
+    ordered.select(F.monotonically_increasing_id().alias("rid"), "*").write.parquet(f"{at}/recipes")
+    manifest(spark, at).write.parquet(f"{at}/manifest")
     drop_dir(spark, f"{at}/staged")
 
 
+def _recipes(spark: SparkSession, at: str) -> DataFrame:
+    return spark.read.schema("rid long, doc_id long, n_tokens long, recipe binary, root binary").parquet(f"{at}/recipes").withColumn("part", F.shiftright("rid", 33))
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The Merkle root over the documents' roots of each task's part, in order; a part is read by one task, in order of rid."""
+    part, tree, n = None, [], 0
+
+    def row() -> pa.RecordBatch:
+        root = functools.reduce(lambda right, left: _node(left, right), [x for _, x in reversed(tree)])
+        return pa.record_batch([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([root], pa.binary())], ["part", "n_docs", "root"])
+
+    for batch in batches:
+        for own, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if own != part and tree:
+                yield row()
+                tree, n = [], 0
+            part, node, n = own, (1, _leaf(root)), n + 1
+            while tree and tree[-1][0] == node[0]:  # a full pair goes up: no more nodes are held than the tree has levels
+                node = (node[0] * 2, _node(tree.pop()[1], node[1]))
+            tree.append(node)
+    if tree:
+        yield row()
+
+
+def manifest(spark: SparkSession, at: str) -> DataFrame:
+    """(part, n_docs, root): the Merkle root over the documents' roots of each recipe file, in order."""
+    ordered = _recipes(spark, at).repartitionByRange(partitions(spark), "part").sortWithinPartitions("part", "rid")
+    return ordered.select("part", "root").mapInArrow(_roots, "part long, n_docs long, root binary")
+
+
+def manifest_root(spark: SparkSession, at: str) -> bytes:
+    """The root over the whole store: of the recipe files' roots, a row for each file."""
+    return merkle([bytes(r.root) for r in spark.read.schema("part long, n_docs long, root binary").parquet(f"{at}/manifest").orderBy("part").collect()])
+
+
+def store_is_whole(spark: SparkSession, at: str) -> bool:
+    """Whether the recipes still give the manifest that was written with them."""
+    written = spark.read.schema("part long, n_docs long, root binary").parquet(f"{at}/manifest")
+    return written.exceptAll(manifest(spark, at)).isEmpty() and manifest(spark, at).exceptAll(written).isEmpty()
+
+
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = []
@@ -257,21 +322,42 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _REBUILT = "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int, merkle_root string, verified boolean"
 
 
+def _listed(recipes: DataFrame) -> DataFrame:
+    """A row for each chunk of each recipe: place k, name and size n."""
+    others = [c for c in recipes.columns if c != "recipe"]
+    each = recipes.select("*", F.explode(F.sequence(F.lit(0), (F.length("recipe") / 20 - 1).cast("int"))).alias("k"))
+    return each.select(*others, "k", F.expr("substring(recipe, k * 20 + 1, 16)").alias("name"), F.conv(F.hex(F.expr("substring(recipe, k * 20 + 17, 4)")), 16, 10).cast("int").alias("n"))
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        docs, ids, good = batch.column(0), [], []
+        for root, chunks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            chunks = sorted(chunks, key=lambda c: c["k"])
+            parts = [unpack(c["body"]) if c["body"] else np.zeros(0, "<u4") for c in chunks]
+            ids.append(np.concatenate(parts).astype(np.int32))
+            good.append(merkle([name_of(p) for p in parts]) == root)
+        yield pa.record_batch([docs, pa.array(ids, pa.list_(pa.int32())), pa.array(good, pa.bool_())], ["doc_id", "ids", "verified"])
+
+
+def read_ids(spark: SparkSession, at: str) -> DataFrame:
+    """(doc_id, ids, verified): every document's ids, its end id too, joined from the stored chunks; false where they do not give its root."""
+    chunks = spark.read.schema("name binary, n int, body binary").parquet(f"{at}/chunks").select("name", "body")
+    whole = _listed(_recipes(spark, at).select("rid", "doc_id", "root", "recipe")).join(chunks, "name", "left").groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("root").alias("root"), F.collect_list(F.struct("k", "body")).alias("chunks"))
+    return whole.select("doc_id", "root", "chunks").mapInArrow(_streams, "doc_id long, ids array<int>, verified boolean")
+
+
 def read_store(spark: SparkSession, at: str) -> DataFrame:
     """One row per document from the files alone; `verified` is false where a chunk is missing or altered.
 
     The sums before each recipe file (one row per file) are all that meets in one place.
     """
-    recipes = spark.read.schema("rid long, doc_id long, n_tokens long, recipe binary, root binary").parquet(f"{at}/recipes").withColumn("part", F.shiftright("rid", 33))
+    recipes = _recipes(spark, at)
     found = spark.read.schema("name binary, n int, body binary").parquet(f"{at}/chunks").select("name", "body").mapInArrow(_found, "name binary, found_n int, crc long, ok boolean")
     sums = recipes.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
     in_part = Window.partitionBy("part").orderBy("rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = recipes.withColumn("inner", F.sum("n_tokens").over(in_part) - F.col("n_tokens")).join(sums, "part").withColumn("start", F.col("before") + F.col("inner"))
-    size = F.length("recipe") / 20
-    k = F.explode(F.sequence(F.lit(0), (size - 1).cast("int")))
-    listed = starts.select("rid", "doc_id", "start", "n_tokens", "root", "recipe", k.alias("k"))
-    n = F.conv(F.hex(F.expr("substring(recipe, k * 20 + 17, 4)")), 16, 10).cast("int")
-    listed = listed.select("rid", "doc_id", "start", "n_tokens", "root", "k", F.expr("substring(recipe, k * 20 + 1, 16)").alias("name"), n.alias("n"))
+    listed = _listed(starts.select("rid", "doc_id", "start", "n_tokens", "root", "recipe"))
     whole = listed.join(found, "name", "left").groupBy("rid").agg(
         F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"),
         F.collect_list(F.struct("k", "name", "n", "found_n", "crc", F.coalesce("ok", F.lit(False)).alias("ok"))).alias("chunks"),
