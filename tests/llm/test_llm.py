@@ -607,9 +607,12 @@ def test_encoder_equals_the_library_on_odd_strings():
     t, own, r = Tokenizer.from_file(file), token_store.WordEncoder(file), random.Random(8)
     parts = [" ", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "a", "Be", "the", "12", "'s", "é", "日", "😀", ".", "...", "_", "\x00", "<|endoftext|>", "Ġ"]
     batch = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(4000)]
-    for at in range(0, 4000, 500):
-        for text, ids in zip(batch[at : at + 500], own(batch[at : at + 500]), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+    batch += ["été, naïve.\nÉcole;\nx", "a.b", "don't", "x!?\ny", "ß.ſ ĳ", "a\n.b c", "a\n\nb c", None]
+    for at in range(0, len(batch), 500):
+        ids, offs = own(pa.array(batch[at : at + 500], pa.string()).slice(3), 7)
+        for k, text in enumerate(batch[at + 3 : at + 500]):
+            assert ids[offs[k] : offs[k + 1]].tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 7], text
+    assert [x.tolist() for x in own(pa.array([], pa.string()), 0)] == [[], [0]]
 
 
 def test_manifest_is_the_merkle_root_of_the_documents(spark, tmp_path):

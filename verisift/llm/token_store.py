@@ -28,25 +28,41 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
-import re
-import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_dir, partitions, per_process, shared_dir, slices, texts
+from .common import drop_dir, partitions, per_process, shared_dir, slices
 from .kernels import U64, mix, window_hashes
 
 WINDOW, MIN, AVERAGE, MAX = 16, 256, 1024, 8192
-#: Words whose ids a Python worker remembers, in each of two generations.
-REMEMBERED = 200_000
-#: A space between white characters, or between one and the text's end; there a split at spaces would not be the tokenizer's own.
-_INNER = re.compile(r"\s (?:\s|\Z)")
+#: Words whose ids a Python worker remembers, and bytes of text that it encodes at once.
+REMEMBERED, BATCH_BYTES = 600_000, 12 << 20
+#: White characters, and a space between two of them or between one and the text's end; there a split at spaces would not be the tokenizer's own.
+_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
+_INNER = rf"{_SPACE} (?:{_SPACE}|\z)"
+
+
+class Ragged:
+    """Rows of ids, end to end."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes = flat, sizes
+        self.begins = np.cumsum(sizes) - sizes
+
+    def rows(self, which: np.ndarray) -> "Ragged":
+        sizes = self.sizes[which]
+        return Ragged(self.flat[np.repeat(self.begins[which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], sizes)
+
+    def __add__(self, more: "Ragged") -> "Ragged":
+        return Ragged(np.concatenate([self.flat, more.flat]), np.concatenate([self.sizes, more.sizes]))
 
 
 class WordEncoder:
@@ -63,58 +79,62 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        space = next(t for t in self.tokenizer.get_vocab() if t and self.tokenizer.decode([self.tokenizer.token_to_id(t)]) == " ")
-        self.begins = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        for token, ident in self.tokenizer.get_vocab().items():
-            self.begins[ident] = token.startswith(space)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([_INNER.pattern, *map(re.escape, added)]))
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words after a space."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        starts = np.flatnonzero(self.begins[ids])
-        if len(starts) != len(words):  # an id that holds two spaces, or a space alone
-            self.known.update(zip(words, self._ids([f" {w}" for w in words]), strict=True))
-            return
-        raw, ends = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
-        self.known.update(zip(words, [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
-
-    def __call__(self, batch: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(batch)
-        split = [None if self.whole.search(t) else t.split(" ") for t in batch]
-        odd = [k for k, parts in enumerate(split) if parts is None]
-        for k, ids in zip(odd, self._ids([batch[k] for k in odd]), strict=True):
-            out[k] = ids
-        plain = [k for k, parts in enumerate(split) if parts is not None]
-        firsts = self._ids([split[k][0] for k in plain])
-        words: set[str] = set()
-        for k in plain:
-            words.update(split[k][1:])
-        if len(self.known) > REMEMBERED:
-            self.known, self.old = {}, self.known
-        known, old = self.known, self.old
-        new = []
-        for w in words:
-            if w not in known:
-                if w in old:
-                    known[w] = old[w]
-                else:
-                    new.append(w)
-        new.sort()
-        if "" in words and "" not in known:
-            new = [w for w in new if w]
-            known[""] = self._ids([" "])[0]
-        for at in range(0, len(new), 1 << 14):
-            self._learn(new[at : at + (1 << 14)])
-        for k, first in zip(plain, firsts, strict=True):
-            out[k] = b"".join([first, *map(known.__getitem__, split[k][1:])])
-        return out
+        vocabulary = self.tokenizer.get_vocab()
+        space = next(t for t, i in vocabulary.items() if t and self.tokenizer.decode([i]) == " ")
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Words and, row by row, their ids after a space.
+        self.words, self.ids = pa.array([], pa.string()), Ragged(np.zeros(0, "<u4"), np.zeros(0, np.int64))
+
+    def _each(self, texts: list[str]) -> Ragged:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return Ragged(np.fromiter(chain.from_iterable(ids), "<u4"), np.array([len(own) for own in ids], np.int64))
+
+    def _after_space(self, words: pa.Array) -> Ragged:
+        """Ids of each word with a space before it."""
+        out = [Ragged(np.zeros(0, "<u4"), np.zeros(0, np.int64))]
+        for at in range(0, len(words), 1 << 16):
+            some = words.slice(at, 1 << 16).to_pylist()
+            ids = self._each([" " + " ".join(some[k : k + 64]) for k in range(0, len(some), 64)]).flat
+            starts = np.flatnonzero(self.begins[ids])
+            # As many starts as words, unless an id holds a space alone, or two.
+            out.append(Ragged(ids, np.diff(np.append(starts, len(ids)))) if len(starts) == len(some) and "" not in some else self._each([f" {w}" for w in some]))
+        return Ragged(np.concatenate([x.flat for x in out]), np.concatenate([x.sizes for x in out]))
+
+    def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end to end, each with the end id, and the n + 1 offsets into them."""
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        texts = pc.fill_null(texts, "")
+        whole = functools.reduce(pc.or_, [pc.match_substring_regex(texts, _INNER), *[pc.match_substring(texts, t) for t in self.added]])
+        whole = whole.to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(texts, " ")
+        rows = split.offsets.to_numpy().astype(np.int64)
+        parts = split.values.slice(rows[0], rows[-1] - rows[0])
+        rows -= rows[0]
+        inner = np.ones(len(parts), bool)  # words after a space, of texts that are parted
+        inner[rows[:-1]] = False
+        inner &= ~np.repeat(whole, np.diff(rows))
+        place = pc.index_in(parts, value_set=self.words)
+        new = parts.filter(pc.and_(pc.is_null(place), pa.array(inner))).dictionary_encode().dictionary
+        self.words, self.ids = pa.concat_arrays([self.words, new]), self.ids + self._after_space(new)
+        if len(new):
+            place = pc.coalesce(place, pc.add(pc.index_in(parts, value_set=new), len(self.words) - len(new)))
+        codes = pc.fill_null(place, 0).to_numpy().astype(np.int64)
+        # Behind the words' ids stand those of the first words and of texts that go whole; a last row is empty.
+        firsts = parts.take(pa.array(rows[:-1])).to_pylist()
+        for k in np.flatnonzero(whole).tolist():
+            firsts[k] = texts[k].as_py()
+        some = self.ids + self._each(firsts) + Ragged(np.zeros(0, "<u4"), np.zeros(1, np.int64))
+        codes[~inner] = len(some.sizes) - 1
+        codes[rows[:-1]] = len(self.words) + np.arange(len(texts))
+        found = some.rows(codes)
+        if len(self.words) > REMEMBERED:  # what this batch used stays
+            used = np.unique(codes[inner])
+            self.words, self.ids = self.words.take(pa.array(used)), self.ids.rows(used)
+        ends = np.cumsum(found.sizes)[rows[1:] - 1]
+        return np.insert(found.flat, ends, np.uint32(end)), np.concatenate([[0], ends + np.arange(1, len(texts) + 1)])
 
 
 def marks(ids: np.ndarray) -> np.ndarray:
@@ -176,25 +196,23 @@ _STAGED = "doc_id long, n_tokens long, recipe binary, root binary, name binary,
 
 def _stage(file: str, end_id: int):
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, end = per_process(("word-encoder", file), lambda: WordEncoder(file)), set(), struct.pack("<I", end_id)
-        for batch in slices(batches):
+        encoder, seen = per_process(("word-encoder", file), lambda: WordEncoder(file)), set()
+        for batch in slices(batches, BATCH_BYTES):
             docs, chunks = [], []
-            streams = [ids + end for ids in encoder(texts(batch.column(1)))]
-            whole, at = np.frombuffer(b"".join(streams), "<u4"), 0
+            whole, offs = encoder(batch.column(1), end_id)
+            raw = whole.tobytes()
             asked = marks(whole)
-            places = np.searchsorted(asked, np.cumsum([0, *(len(x) // 4 for x in streams)])).tolist()
-            for k, (doc, stream) in enumerate(zip(batch.column(0).to_pylist(), streams, strict=True)):
-                n = len(stream) // 4
+            places, starts = np.searchsorted(asked, offs).tolist(), offs.tolist()
+            for k, doc in enumerate(batch.column(0).to_pylist()):
+                at, n = starts[k], starts[k + 1] - starts[k]
                 recipe, leaves, last = [], [], 0
                 for to in cuts(n, (asked[places[k] : places[k + 1]] - at).tolist()):
-                    body = stream[4 * last : 4 * to]
-                    leaves.append(name := hashlib.blake2b(body, digest_size=16).digest())
+                    leaves.append(name := hashlib.blake2b(raw[4 * (at + last) : 4 * (at + to)], digest_size=16).digest())
                     recipe.append(name + (to - last).to_bytes(4, "big"))
                     if name not in seen:
                         seen.add(name)
                         chunks.append((None, None, None, None, name, to - last, pack(whole[at + last : at + to])))
                     last = to
-                at += n
                 docs.append((doc, n, b"".join(recipe), merkle(leaves), None, None, None))
             if len(seen) > REMEMBERED:
                 seen = set()
@@ -310,11 +328,13 @@ def joined_crc(parts: list[tuple[int, int]]) -> int:
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for doc, start, n, root, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            chunks = sorted(chunks, key=lambda c: c["k"])
-            good = sum(c["n"] for c in chunks) == n and all(c["ok"] and c["n"] == c["found_n"] for c in chunks) and merkle([c["name"] for c in chunks]) == root
-            rows.append((doc, start, sum(c["found_n"] or 0 for c in chunks), joined_crc([(c["crc"] or 0, 4 * (c["found_n"] or 0)) for c in chunks]), len(chunks), root.hex(), good))
+        chunks, rows = batch.column(4), []
+        offs, each = chunks.offsets.to_pylist(), chunks.values
+        k, name, n, found, crc, ok = (each.field(i).to_pylist() for i in range(6))
+        for doc, start, size, root, a, b in zip(*(c.to_pylist() for c in batch.columns[:4]), offs, offs[1:], strict=False):
+            order = sorted(range(a, b), key=k.__getitem__)
+            good = sum(n[a:b]) == size and all(ok[a:b]) and n[a:b] == found[a:b] and merkle([name[i] for i in order]) == root
+            rows.append((doc, start, sum(x or 0 for x in found[a:b]), joined_crc([(crc[i] or 0, 4 * (found[i] or 0)) for i in order]), b - a, root.hex(), good))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_())
         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], [x.split()[0] for x in _REBUILT.split(", ")])
 
