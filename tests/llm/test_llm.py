@@ -82,6 +82,37 @@ def test_unknown_sizes_block_groups_and_damage():
         matroska.parse(b"\x00\x01")
 
 
+def test_any_damage_is_a_matroska_error():
+    r = random.Random(4)
+    files = [matroska.mux(matroska.padded(r.randbytes(64 * 70)), lacing) for lacing in range(4)]
+    head, track = files[0][: files[0].index(b"\x18\x53\x80\x67")], matroska.vint(1)
+    block = lambda body: head + matroska.element(matroska.SEGMENT, matroska.element(matroska.CLUSTER, matroska.element(matroska.SIMPLE_BLOCK, body)))
+    odd = [block(track), block(b""), block(track + b"\0\0\x82\x05\xff\xff"), block(track + b"\0\0\x86\x05\x00"), block(track + b"\0\0\x86"), block(track + b"\0\0\x86\x02\xff\x80"), head + matroska.element(matroska.SEGMENT, matroska.element(matroska.SIMPLE_BLOCK, track + b"\0\0\0x")), head + matroska.element(matroska.SEGMENT, matroska.element(matroska.INFO, matroska.element(matroska.DURATION, b"abc")))]
+    for data in odd:
+        with pytest.raises(matroska.MatroskaError):
+            matroska.parse(data)
+    for k in range(3000):
+        data = bytearray(files[k % 4])
+        for _ in range(r.randint(1, 4)):
+            data[r.randrange(min(len(data), 400) if k % 3 else len(data))] = r.randrange(256)
+        data = bytes(data[: r.randrange(len(data))] if k % 5 == 0 else data)
+        try:
+            found = matroska.parse(data)
+        except matroska.MatroskaError:
+            continue
+        assert all(0 <= p[2] <= p[2] + p[3] <= len(data) for p in found.packets)
+        matroska.feature(matroska.payload_of(data, found), found)
+
+
+def test_damaged_and_null_files_keep_their_rows(spark):
+    good = matroska.mux(matroska.padded(b"text"))
+    media = spark.createDataFrame([(1, 4, good), (2, 4, good[:-9]), (3, 0, None), (4, 2, b"")], "doc_id long, n_bytes long, media binary")
+    rows = {r.doc_id: r for r in matroska.features(media).collect()}
+    assert rows[1].payload_bytes == 64 and rows[2].feature.startswith("damaged: ") and rows[2].payload_sha256 is None and rows[2].media_bytes == len(good) - 9
+    assert rows[3].feature is None and rows[3].media_bytes is None and rows[4].feature == "damaged: no Matroska header"
+    assert {r.doc_id for r in matroska.packet_rows(media).collect()} == {1}
+
+
 def test_matroska_operators_on_odd_rows(spark):
     media = matroska.store(frame(spark, ODD))
     rows = matroska.features(media).collect()
@@ -453,6 +484,59 @@ def test_mixtures():
     assert [x[:2] for x in found[2:5]] == [("und", 0.0)] * 3 and found[5][0] in ("de", "en", "fr")
 
 
+def brute_mixture(logs, penalty, enough):
+    """Shares of one document from a row of log likelihoods for each word, in plain loops."""
+    likely = np.exp(np.maximum(logs - logs.max(1, keepdims=True), -60.0))
+
+    def fit(allowed):
+        shares = np.array([1 / len(allowed) if j in allowed else 0.0 for j in range(logs.shape[1])])
+        while len(allowed) > 1:
+            new = np.zeros(len(shares))
+            for word in likely:
+                new += word * shares / (word * shares).sum()
+            new /= new.sum()
+            done = np.abs(new - shares).max() < enough
+            shares = new
+            if done:
+                break
+        return shares, sum(np.log((word * shares).sum()) for word in likely)
+
+    allowed = set(range(logs.shape[1]))
+    shares, best = fit(allowed)
+    while len(allowed) > 1:
+        weakest = min(allowed, key=lambda j: shares[j])
+        new, fewer = fit(allowed - {weakest})
+        if 2 * (best - fewer) >= penalty * np.log(max(len(logs), 2)):
+            break
+        allowed, shares, best = allowed - {weakest}, new, fewer
+    return shares
+
+
+def test_mixtures_equal_brute_force_in_any_company():
+    r = random.Random(6)
+    parts = [EN.split(), DE.split(), FR.split()]
+    texts = [" ".join(r.choice(parts[r.choice([k % 3, (k + k // 3) % 3])]) for _ in range(r.randint(1, 60))) for k in range(60)]
+    model = language.fit([(lang, t) for _, t, lang in labelled()])
+    together = language.Detector(model)(texts)
+    assert together == [x for t in texts for x in language.Detector(model)([t])]
+    assert together == [x for k in range(0, 60, 7) for x in language.Detector(model)(texts[k : k + 7])]
+    keys = {int(k): n for n, k in enumerate(model.keys)}
+    for text, (lang, score, shares) in zip(texts, together, strict=True):
+        rows = []
+        for word in text.split():
+            marked = [2, *map(ord, word), 3]
+            rows.append(sum(model.logs[keys.get(a << 42 | b << 21 | c, len(keys))] for a, b, c in zip(marked, marked[1:], marked[2:], strict=False)))
+        want = brute_mixture(np.array(rows), language.PENALTY, language.ENOUGH)
+        assert model.languages[int(want.argmax())] == lang and abs(want.max() - score) < 5e-3
+        assert {model.languages[j] for j in np.flatnonzero(want > 0)} >= {k for k, v in shares.items() if v > 1e-6}
+
+
+def test_the_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k, "x" * 50_000 + f" {k}", f"l{k % 7}") for k in range(40)] + [(100, "y", "l0")], "doc_id long, text string, lang string")
+    rows = language.training_rows(docs, F.lit(True), fit_rows=2, fit_languages=3, fit_chars=100)
+    assert len(rows) == 6 and max(len(t) for _, t in rows) <= 100 and "l0" in {x for x, _ in rows}
+
+
 def test_detect_on_odd_rows(spark):
     docs = spark.createDataFrame(labelled(), "doc_id long, text string, lang string")
     rows = language.training_rows(docs, queries.learns(), fit_rows=5)
@@ -489,6 +573,15 @@ def test_mix_meets_the_weights(spark):
         mixing.mix(docs, {"s0": -1.0})
 
 
+def test_rows_without_an_id_differ_by_text_and_are_dealt_out(spark):
+    docs = spark.createDataFrame([(None, f"text {k}", "s") for k in range(300)] + [(None, "copy", "s")] * 300, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, {"s": 1.0})
+    times = {r.text: r["count"] for r in mixed.groupBy("text").count().collect()}
+    assert 120 < len(times) < 280 and times.get("copy", 0) % 300 == 0
+    sizes = [r["count"] for r in mixing.mix(docs.where("text = 'copy'"), {"s": 1.0}, size=900).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 or not sizes
+
+
 def test_steps_are_the_distribution_function():
     for mean in (0.01, 0.5, 3.0, 40.0):
         steps = mixing.steps(mean)

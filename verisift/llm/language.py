@@ -4,10 +4,12 @@ A language's model gives each word the product of its character n-grams' smoothe
 likelihoods (the word between two boundary marks).  A document is a mixture: every word comes from one
 language of a set, with proportions that expectation-maximisation estimates.  The set is chosen by
 penalised likelihood: from all languages, the one of smallest proportion is dropped as long as
-2 * log likelihood falls by less than PENALTY * ln(words) (the price of one proportion).
+2 * log likelihood falls by less than PENALTY * ln(words) (the price of one proportion).  Each document's estimation ends by its own
+change, however many rounds that takes, so a prediction is a function of the text and the model alone.
 
-Models are fitted on at most `fit_rows` labelled rows of each language, those of smallest hash of their
-id; prediction reads whole texts and nothing but the text.  With no labelled row at all every row is `und`.
+Models are fitted on a bounded sample of labelled rows: of each of at most `fit_languages` languages (those of most rows) at most `fit_rows`
+rows, those of smallest hash of their id, and of each row's text at most `fit_chars` characters.  Prediction reads whole texts, whatever
+their length, and nothing but the text.  With no labelled row at all every row is `und`.
 
 `und` with score 0 is given for null texts and for those without a letter.  Ties between proportions go to
 the language that sorts first.  Rows that share a doc_id are kept apart; an empty table gives no rows; other
@@ -30,10 +32,12 @@ from .common import per_process, slices
 
 #: Characters of an n-gram, labelled rows per language, weight of an unseen n-gram.
 ORDER, FIT_ROWS, SMOOTHING = 3, 1000, 0.5
+#: Languages that are learnt at most, and characters of each labelled text.
+FIT_LANGUAGES, FIT_CHARS = 200, 10_000
 #: Price of one more language, for each unit of ln(words).
 PENALTY = 4.0
-#: Rounds of expectation-maximisation at most, and the change of proportions that ends them.
-ROUNDS, ENOUGH = 12, 1e-3
+#: The change of a document's proportions that ends its expectation-maximisation.
+ENOUGH = 1e-3
 UNDETERMINED = "und"
 #: Words that a worker remembers.
 REMEMBERED = 150_000
@@ -155,37 +159,39 @@ def infer(logs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def em(likely: np.ndarray, sizes: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions and log likelihoods (less the words' own top) of mixtures of the allowed languages."""
-    starts = np.cumsum(sizes) - sizes
     shares = allowed / allowed.sum(0)
 
-    def mixed() -> tuple[list[np.ndarray], np.ndarray]:
-        parts = [row * np.repeat(own.astype(np.float32), sizes) for row, own in zip(likely, shares, strict=True)]
+    def mixed(part: np.ndarray, n: np.ndarray, own: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        parts = [row * np.repeat(share.astype(np.float32), n) for row, share in zip(part, own, strict=True)]
         return parts, np.maximum(sum(parts[1:], parts[0]), np.float32(1e-37))
 
-    if (allowed.sum(0) > 1).any():
-        for _ in range(ROUNDS):
-            parts, total = mixed()
-            new = np.stack([np.add.reduceat(p / total, starts, dtype=np.float64) for p in parts]) / sizes
-            moved = np.abs(new - shares).max()
-            shares = new / new.sum(0)
-            if moved < ENOUGH:
-                break
-    return shares, np.add.reduceat(np.log(mixed()[1]), starts, dtype=np.float64)
-
-
-def training_rows(docs: DataFrame, usable, fit_rows: int = FIT_ROWS) -> list[tuple[str, str]]:
-    """At most fit_rows rows of each language among those for which `usable` holds, by smallest hash."""
-    labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("id"), F.sha2(F.concat_ws(":", F.lit("fit"), F.col("doc_id").cast("string")), 256).alias("key"))
-    # A cut at a quantile of the hash keeps what is ranked small; the rank then cuts exactly.
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    live, part = np.flatnonzero(allowed.sum(0) > 1), likely
+    if len(live) < len(sizes):
+        part = likely[:, np.repeat(np.isin(np.arange(len(sizes)), live), sizes)]
+    while len(live):  # the proportions' change goes to 0, as the likelihood is bounded
+        n = sizes[live]
+        starts = np.cumsum(n) - n
+        parts, total = mixed(part, n, shares[:, live])
+        new = np.stack([np.add.reduceat((p / total).astype(np.float64), starts) for p in parts]) / n
+        new /= new.sum(0)
+        moves = np.abs(new - shares[:, live]).max(0) >= ENOUGH
+        shares[:, live] = new
+        if not moves.all():
+            part, live = part[:, np.repeat(moves, n)], live[moves]
+    return shares, np.add.reduceat(np.log(mixed(likely, sizes, shares)[1]).astype(np.float64), np.cumsum(sizes) - sizes)
+
+
+def training_rows(docs: DataFrame, usable, fit_rows: int = FIT_ROWS, fit_languages: int = FIT_LANGUAGES, fit_chars: int = FIT_CHARS) -> list[tuple[str, str]]:
+    """(language, start of a text): the bounded sample of the rows for which `usable` holds."""
+    labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("id"), F.substring("text", 1, fit_chars).alias("text"), F.sha2(F.concat_ws(":", F.lit("fit"), F.col("doc_id").cast("string")), 256).alias("key"))
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(fit_languages).collect()}
     if not sizes:
         return []
+    # A cut at a quantile of the hash keeps what is ranked small; the rank then cuts exactly.
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 4 * fit_rows / n))) for lang, n in sorted(sizes.items())], F.lit(0.0))
     near = labelled.where(F.conv(F.substring("key", 1, 13), 16, 10).cast("double") / float(1 << 52) < share)
-    chosen = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))).where(F.col("rank") <= fit_rows).select("id")
-    ids = [r.id for r in chosen.collect()]
-    found = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isin(ids)).select(F.col("lang").cast("string").alias("lang"), "text")
-    return sorted((r.lang, r.text) for r in found.collect())
+    chosen = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "id", F.xxhash64("text")))).where(F.col("rank") <= fit_rows)
+    return sorted((r.lang, r.text) for r in chosen.select("lang", "text").collect())
 
 
 PREDICTED = "lang_pred string, score double, n_languages int, proportions map<string,double>"
@@ -196,7 +202,7 @@ def detect(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema), PREDICTED])
     names = [*carry, "lang_pred", "score", "n_languages", "proportions"]
     key = ("language", tuple(model.languages), len(model.keys), float(model.logs.sum()))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit_rows
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded as the sample is
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = per_process(key, lambda: Detector(shared.value))

@@ -8,7 +8,9 @@ cues, into one row per packet: track, time stamp, byte range.
 
 Null texts count as empty; the payload of an empty text is 64 bytes of 0.  Equal texts give
 equal files whatever their doc_id.  Rows that share a doc_id are kept apart; an empty
-table gives no rows; other columns are ignored.  A damaged file raises MatroskaError.
+table gives no rows; other columns are ignored.  A very long text is one file, held whole with its packet list by one task.
+`parse` raises MatroskaError on any damage.  The operators keep such a row: `features` gives `feature` as "damaged: " and the reason,
+null payload fields and the stored bytes' own size and digest; a null file has null fields alone; `packet_rows` has no rows for either.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -163,9 +166,17 @@ def read_vint(data: bytes, at: int, marked: bool) -> tuple[int, int]:
 
 
 def _real(body: bytes) -> float:
+    if len(body) not in (0, 4, 8):
+        raise MatroskaError(f"a real number of {len(body)} bytes")
     return float(np.frombuffer(body, f">f{len(body)}")[0]) if body else 0.0
 
 
+def _byte(data: bytes, at: int, end: int) -> int:
+    if at >= end:
+        raise MatroskaError("a lace's head passes its block's end")
+    return data[at]
+
+
 def frame_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int], int]:
     """Sizes of a block's frames and where the first begins."""
     if lacing == NO_LACING:
@@ -181,12 +192,14 @@ def frame_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int],
     for k in range(n - 1):
         if lacing == XIPH:
             size = 0
-            while data[at] == 255:
+            while (byte := _byte(data, at, end)) == 255:
                 size, at = size + 255, at + 1
-            size, at = size + data[at], at + 1
+            size, at = size + byte, at + 1
         else:
-            width = 9 - data[at].bit_length()
+            width = 9 - _byte(data, at, end).bit_length()
             value, at = read_vint(data, at, False)
+            if at > end or value < 0:
+                raise MatroskaError("a lace's head passes its block's end")
             size = value if not k else sizes[-1] + value - ((1 << 7 * width - 1) - 1)
         sizes.append(size)
     sizes.append(end - at - sum(sizes))
@@ -232,6 +245,10 @@ def parse(data: bytes) -> Parsed:
             continue
         if ident in (SIMPLE_BLOCK, BLOCK):
             number_, p = read_vint(data, at, False)
+            if p + 3 > end:
+                raise MatroskaError(f"the block at byte {began} has no whole head")
+            if not out.clusters:
+                raise MatroskaError(f"the block at byte {began} stands in no cluster")
             time = cluster_time + int.from_bytes(data[p : p + 2], "big", signed=True)
             flags = data[p + 2]
             sizes, p = frame_sizes(data, p + 3, end, flags >> 1 & 3)
@@ -330,13 +347,16 @@ PACKET = "doc_id long, packet int, track int, timestamp_ns long, byte_offset lon
 
 
 def packet_rows(media: DataFrame) -> DataFrame:
-    """(doc_id, media) to one row per packet; a null file has none."""
+    """(doc_id, media) to one row per packet; a null or damaged file has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PACKET.split(", ")]
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
         for batch in slices(batches, 1 << 20):
-            rows = [(doc, k, p[0], p[1], p[2], p[3], p[4], p[5], p[6], p[7]) for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if data is not None for k, p in enumerate(parse(data).packets)]
+            rows = []
+            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with suppress(MatroskaError):
+                    rows += [(doc, k, *p) for k, p in enumerate(parse(data).packets if data is not None else ())]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], names)
 
     return media.select("doc_id", "media").mapInArrow(run, PACKET)
@@ -354,7 +374,14 @@ def features(media: DataFrame) -> DataFrame:
         for batch in slices(batches):
             rows = []
             for doc, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = parse(data)
+                if data is None:
+                    rows.append((doc, n, *[None] * 6))
+                    continue
+                try:
+                    found = parse(data)
+                except MatroskaError as fault:
+                    rows.append((doc, n, None, None, None, len(data), hashlib.sha256(data).hexdigest(), f"damaged: {fault}"))
+                    continue
                 payload = payload_of(data, found)
                 rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload, found)))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], names)

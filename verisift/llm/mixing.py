@@ -8,9 +8,9 @@ sorted by the hash of (seed, doc_id, replica): a global random order that any re
 
 Weights need not sum to 1; they are scaled over the keys that have rows.  The keys are a parameter, so the counts
 gathered are bounded by its length, whatever the number of sources.  A null source belongs to the rest; a key
-of weight 0 or a rest without a weight is dropped.  A null doc_id hashes as an empty one.  Rows that
-share a doc_id repeat alike and are shuffled side by side.  An empty table gives no rows.  All other
-columns are carried; `replica` and `shuffle_key` replace columns of these names.
+of weight 0 or a rest without a weight is dropped.  A row without a doc_id hashes by its text instead, whatever its length, and such
+rows are dealt among all tasks.  Rows that share a doc_id repeat alike.  Texts are carried unread, null and empty ones too.  An
+empty table gives no rows.  All other columns are carried; `replica` and `shuffle_key` replace columns of these names.
 """
 
 from __future__ import annotations
@@ -52,9 +52,15 @@ def steps(mean: float) -> list[float]:
     return out
 
 
+def identity(docs: DataFrame) -> Column:
+    """What a row is hashed by: its doc_id, or its text's hash."""
+    text = F.concat(F.lit("text:"), F.md5(F.coalesce(F.col("text"), F.lit("")))) if "text" in docs.columns else F.lit("")
+    return F.coalesce(F.col("doc_id").cast("string"), text)
+
+
 def uniform(seed: int, ident: Column) -> Column:
-    """A number in [0, 1) from the hash of seed and id."""
-    return F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.coalesce(ident.cast("string"), F.lit("")))), 1, BITS // 4), 16, 10).cast("double") / F.lit(float(1 << BITS))
+    """A number in [0, 1) from the hash of seed and identity."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), ident)), 1, BITS // 4), 16, 10).cast("double") / F.lit(float(1 << BITS))
 
 
 def inverse(distribution: list[float], u: Column) -> Column:
@@ -70,7 +76,7 @@ def mix(docs: DataFrame, weights: dict[str, float], size: int | None = None, see
     key = key_of(weights)
     counts = {r.key: r.n for r in docs.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n")).collect()}
     means = rates(counts, weights, sum(counts.values()) if size is None else size)
-    ident = F.col("doc_id")
+    ident = identity(docs)
     draws = F.lit(0)
     for name, mean in means.items():
         parts = math.ceil(mean / 500)  # e**-mean must not vanish: a sum of equal parts has the same distribution
@@ -78,13 +84,15 @@ def mix(docs: DataFrame, weights: dict[str, float], size: int | None = None, see
         draws = F.when(key == name, draw).otherwise(draws)
     times = docs.withColumn("_times", draws).where(F.col("_times") > 0)
     copies = times.withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop("_times")
-    shuffled = copies.withColumn("shuffle_key", F.md5(F.concat_ws("/", F.lit(f"{seed}/order"), F.coalesce(ident.cast("string"), F.lit("")), F.col("replica").cast("string"))))
+    shuffled = copies.withColumn("shuffle_key", F.md5(F.concat_ws("/", F.lit(f"{seed}/order"), ident, F.col("replica").cast("string"))))
     n = partitions(docs.sparkSession)
-    return shuffled.repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key")
+    # Copies without an id may be many: where they go does not show in the result.
+    spread = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return shuffled.repartition(n, "shuffle_key", spread).sortWithinPartitions("shuffle_key")
 
 
-def oracle_sql(weights: dict[str, float], columns: str, table: str = "documents", seed: int = 17, most: int = 60) -> str:
-    """DuckDB SQL for mix() with the default size; `most` bounds the replicas that are looked for, far in the tail."""
+def oracle_sql(weights: dict[str, float], columns: str, table: str = "documents", seed: int = 17) -> str:
+    """DuckDB SQL for mix() with the default size, for mean rates up to 500 (above, mix() adds up parts)."""
     listed = ", ".join(f"('{k}', {w!r}::DOUBLE)" for k, w in sorted(weights.items()))
     named = ", ".join(f"'{k}'" for k in sorted(weights) if k != REST)
     return f"""
@@ -93,9 +101,9 @@ d AS (SELECT *, CASE WHEN source IN ({named}) THEN source ELSE '{REST}' END AS k
 n AS (SELECT key, count(*) AS n FROM d GROUP BY key),
 m AS (SELECT key, weight / (SELECT sum(weight) FROM w JOIN n USING (key) WHERE weight > 0) * (SELECT sum(n) FROM n) / n AS mean FROM w JOIN n USING (key) WHERE weight > 0),
 p AS (SELECT key, mean, 0 AS k, exp(-mean) AS term, exp(-mean) AS step FROM m
-      UNION ALL SELECT key, mean, k + 1, term * mean / (k + 1), step + term * mean / (k + 1) FROM p WHERE k < {most}),
-u AS (SELECT *, ('0x' || substr(md5('{seed}/' || coalesce(doc_id::VARCHAR, '')), 1, {BITS // 4}))::BIGINT::DOUBLE / {1 << BITS}::DOUBLE AS u FROM d)
+      UNION ALL SELECT key, mean, k + 1, term * mean / (k + 1), step + term * mean / (k + 1) FROM p WHERE k < mean OR step + term * mean / (k + 1) > step),
+u AS (SELECT *, ('0x' || substr(md5('{seed}/' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))), 1, {BITS // 4}))::BIGINT::DOUBLE / {1 << BITS}::DOUBLE AS u FROM d)
 SELECT {columns} FROM (
-  SELECT u.*, CAST(p.k AS INTEGER) AS replica, md5('{seed}/order/' || coalesce(doc_id::VARCHAR, '') || '/' || p.k) AS shuffle_key
+  SELECT u.*, CAST(p.k AS INTEGER) AS replica, md5('{seed}/order/' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) || '/' || p.k) AS shuffle_key
   FROM u JOIN p ON p.key = u.key AND p.step <= u.u)
 """
