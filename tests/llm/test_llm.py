@@ -235,6 +235,28 @@ def test_search_equals_brute_force(spark):
     assert [x[:3] for x in got] == [x[:3] for x in want] and [x[3] for x in got] == [x[3] for x in want]
 
 
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e4, 1e150, 1e200])
+def test_near_copies_of_any_length_and_huge_values(spark, scale):
+    r = np.random.default_rng(2)
+    base = r.standard_normal((30, 32))
+    vectors = np.concatenate([base + 1e-5 * r.standard_normal((30, 32)) for _ in range(12)]) * scale
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {}
+    for x in onebit.search(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
+    for q in range(0, 360, 100):
+        with np.errstate(over="ignore"):
+            d = onebit.distances(vectors.T, np.arange(360), vectors.T, np.full(360, q))
+        want = [k for k in np.lexsort((np.arange(360), d)) if k != q][:10]
+        assert [x[1] for x in sorted(got[q])] == want and [x[2] for x in sorted(got[q])] == d[want].tolist()
+
+
+def test_queries_that_share_an_id_have_lists_of_their_own(spark):
+    rows = [(0, [0.0, 1.0]), (0, [0.0, 1.0]), (0, [9.0, 1.0]), (1, [0.0, 2.0]), (2, [9.0, 2.0]), (2, [9.0, 3.0])]
+    got = sorted((x["rank"], x.vec_id, round(x.score, 3)) for x in onebit.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=2).collect())
+    assert got == [(1, 1, 1.0), (1, 1, 1.0), (1, 2, 1.0), (2, 2, 2.0), (2, 2, round(82**0.5, 3)), (2, 2, round(82**0.5, 3))]
+
+
 def test_blocks_do_not_matter(spark, sf_dir, monkeypatch):
     whole = sorted(map(tuple, queries.op3_onebit(spark, sf_dir).collect()))
     monkeypatch.setattr(onebit, "BLOCK", 60)
