@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -401,7 +402,22 @@ def page(body, head=""):
     ],
 )
 def test_main_text(html, text):
-    assert pages.main_text(pages.parse(html or ""), set()) == text
+    page_ = pages.parse(html or "")
+    assert pages.main_text(page_, pages.by_evidence(page_)) == text
+
+
+def test_a_deep_page_is_parsed_in_one_pass():
+    began = time.perf_counter()
+    for piece in ("<div>", "<div><li>", "<p>", "<ul><li>", "</section><div>", "<table><tr><td>"):
+        page_ = pages.parse(piece * 100_000 + "text")
+        assert page_.blocks[-1][1] == "text" and pages.main_text(page_, {}) == "text"
+    assert time.perf_counter() - began < 20
+
+
+def test_a_nested_table_stays_in_its_cell():
+    page_ = pages.parse("<table><tr><td>a<table><tr><td>b<tr><td>c</table>d<tr><td>e</table>")
+    up = {text: page_.nodes[k].parent for k, text in page_.blocks}
+    assert [t for _, t in page_.blocks] == list("abcde") and page_.nodes[page_.nodes[up["b"]].parent].parent == next(k for k, t in page_.blocks if t == "a")
 
 
 def test_style_tree_removes_what_a_site_repeats(spark):
@@ -414,8 +430,8 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert got[:12] == [(k, f"Story {k} of its own.\nMore {k * 7}.", len(f"Story {k} of its own.\nMore {k * 7}.")) for k in range(12)]
     assert got[12:16] == sorted([(100, "This text stands on every page of the site.\nAlone.", 50), (100, "twice", 5), (101, "", 0), (102, "x", 1)])
     assert all(t == "A copy." for _, t, _ in got[16:])
-    tree = {r.path: r for r in pages.style_tree(df).where("host = 'a.example'").collect()}
-    assert tree["/html/body/div"].importance < pages.THRESHOLD < tree["/html/body/section"].importance
+    tree = {r.node: r for r in pages.style_tree(pages.seen(df)).where(F.col("host") == pages._hash("a.example")).collect()}
+    assert tree[pages.node_key("/html/body/div")].importance < pages.THRESHOLD < tree[pages.node_key("/html/body/section")].importance
     assert pages.extract(df.limit(0)).count() == 0
 
 
@@ -427,6 +443,25 @@ def test_style_tree_judges_within_landmarks(spark):
     assert got == [(k, f"Story {k} of its own.") for k in range(12)] + [(100 + k, "A copy.") for k in range(9)]
 
 
+def test_the_tree_decides_on_the_tables_pages(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    texts = {r.page_id: r.text for r in pages.extract(table).collect()}
+    # The opposite of what the tree says, no word from it, and no importance at all.
+    other = pages.extract(table, lambda nodes: pages.style_tree(nodes).withColumn("importance", 1 - F.col("importance")))
+    silent = pages.extract(table, lambda nodes: pages.style_tree(nodes).withColumn("importance", F.lit(1.0)))
+    nothing = pages.extract(table, lambda nodes: pages.style_tree(nodes).withColumn("importance", F.lit(0.0)))
+    assert all(texts[r.page_id] != r.text for r in other.collect()) and all(len(texts[r.page_id]) < r.n_chars for r in silent.collect())
+    assert {r.text for r in nothing.collect()} == {""}
+
+
+def test_entropy_moves_what_presentation_leaves_open(spark):
+    rows = [(k, f"https://a.example/{k}", page(f"<article><p>Story {k}.</p><div class=related><p>More of us</p></div><div class=share><p>Own words {k}</p></div></article>")) for k in range(8)]
+    rows += [(100, "https://b.example/", page("<article><p>Once.</p><div class=related><p>Seen once</p></div></article>")), (101, "https://b.example/x", page("<article><p>Text <object>in an object</object> <noscript>and more</noscript></article>"))]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(8)] == [f"Story {k}.\nOwn words {k}" for k in range(8)]
+    assert got[100] == "Once.\nSeen once" and got[101] == "Text in an object\nand more"
+
+
 # --- 6: repeated passages --------------------------------------------------
 
 
