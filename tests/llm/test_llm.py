@@ -326,7 +326,8 @@ def test_viterbi_equals_brute_force_and_round_trips(model, spark, sf_dir):
         assert model.decode(ids) == text
 
 
-def test_viterbi_equals_the_library_on_a_unigram_model(tmp_path):
+@pytest.mark.parametrize("prefix,squeeze", [(1, 0), (0, 0), (1, 1), (0, 1)])
+def test_viterbi_equals_the_library_on_a_unigram_model(tmp_path, prefix, squeeze):
     import sentencepiece as sp
 
     def field(n, kind, body):
@@ -340,17 +341,23 @@ def test_viterbi_equals_the_library_on_a_unigram_model(tmp_path):
             if not n:
                 return out + b
 
-    pieces, _ = unigram.read_model(queries.tokenizer_path("piece_bpe_32k.model"))
+    pieces, settings = unigram.read_model(queries.tokenizer_path("piece_bpe_32k.model"))
+    assert (settings.model, settings.prefix, settings.squeeze) == (unigram.BPE, True, False)
     scores = unigram.log_scores(pieces, unigram.BPE)
-    data = b"".join(field(1, 2, sized(field(1, 2, sized(p.encode())) + field(2, 5, np.float32(s).tobytes()) + field(3, 0, bytes([k])))) for (p, _, k), s in zip(pieces, scores, strict=True))
+    more = [("<tag>", 0.0, unigram.USER), ("own piece", 0.0, unigram.USER), ("ellohx", 0.0, unigram.USER)]
+    data = b"".join(field(1, 2, sized(field(1, 2, sized(p.replace(" ", "▁").encode())) + field(2, 5, np.float32(s).tobytes()) + field(3, 0, bytes([k])))) for (p, _, k), s in zip([*pieces, *more], [*scores, 0, 0, 0], strict=True))
     trainer = field(3, 0, b"\x01") + bytes([35 << 3 & 127 | 128, 35 << 3 >> 7]) + b"\x01"  # kind unigram, byte fallback
-    normalizer = field(1, 2, sized(b"identity")) + field(3, 0, b"\x01") + field(4, 0, b"\x00") + field(5, 0, b"\x01")
+    normalizer = field(1, 2, sized(b"identity")) + field(3, 0, bytes([prefix])) + field(4, 0, bytes([squeeze])) + field(5, 0, b"\x01")
     file = tmp_path / "u.model"
     file.write_bytes(data + field(2, 2, sized(trainer)) + field(3, 2, sized(normalizer)))
     library, own = sp.SentencePieceProcessor(model_file=str(file)), unigram.load(str(file))
-    for text in TEXTS:
+    for text in [*TEXTS, "an own piece of <tag> hellohx<tag>ellohx", " <tag> ", "", "one", "a   "]:
         if "\x00" not in text:
             assert own.encode([text])[0].tolist() == library.encode(text), text
+            assert squeeze or own.decode(own.encode([text])[0]) == text
+    (tmp_path / "m.model").write_bytes(data + field(2, 2, sized(trainer)) + field(3, 2, sized(normalizer + field(2, 2, sized(b"map")))))
+    with pytest.raises(ValueError):
+        unigram.load(str(tmp_path / "m.model"))
 
 
 def test_trie_holds_exactly_its_keys():

@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset, as in tests, below a temporary one."""
+    """A new folder below spark.checkpoint.dir.  Where that is unset, as in tests, below a temporary one: on a single machine only."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='verisift-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -36,11 +38,13 @@ _SCRATCH: list[list[str]] = []
 
 
 def keep(df: DataFrame, what: str, for_result: bool = False) -> DataFrame:
-    """The frame written to the shared folder and read again: lineage ends there."""
+    """The frame written to the shared folder and read again: lineage ends there.  What a result is read from goes when the driver ends."""
     at = shared_dir(df.sparkSession, what)
     df.write.parquet(at)
     if _SCRATCH and not for_result:
         _SCRATCH[-1].append(at)
+    else:
+        drop_at_end(df.sparkSession, at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
@@ -55,9 +59,20 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             drop_dir(spark, at)
 
 
-def drop_dir(spark: SparkSession, at: str) -> None:
+def _file_system(spark: SparkSession, at: str) -> tuple[Any, Any]:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def drop_dir(spark: SparkSession, at: str) -> None:
+    files, path = _file_system(spark, at)
+    files.delete(path, True)
+
+
+def drop_at_end(spark: SparkSession, at: str) -> None:
+    """Deletes the folder when the driver's JVM ends."""
+    files, path = _file_system(spark, at)
+    files.deleteOnExit(path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_dir, partitions, per_process, shared_dir, slices
+from .common import drop_at_end, drop_dir, partitions, per_process, shared_dir, slices
 from .kernels import U64, mix, window_hashes
 
 WINDOW, MIN, AVERAGE, MAX = 16, 256, 1024, 8192
@@ -386,7 +386,9 @@ def read_store(spark: SparkSession, at: str) -> DataFrame:
 
 
 def token_store(docs: DataFrame, tokenizer: str, end_id: int = 0, at: str | None = None) -> DataFrame:
-    """Writes the store and reads it back."""
-    at = at or shared_dir(docs.sparkSession, "token-store")
+    """Writes the store and reads it back; without a place of its own it goes when the driver ends."""
+    if not at:
+        at = shared_dir(docs.sparkSession, "token-store")
+        drop_at_end(docs.sparkSession, at)
     write_store(docs, at, tokenizer, end_id)
     return read_store(docs.sparkSession, at)

@@ -6,6 +6,9 @@ one walk through a double-array trie, and a Viterbi pass joins them.  A characte
 piece covers costs the lowest score less PENALTY and is written as its UTF-8 bytes' pieces.
 Of equal sums the one whose last piece is longest wins, as in the library.
 
+The model's own settings hold: whether a marker is put in front, whether extra spaces go (then a text may not decode to itself), and
+user-defined pieces, which outdo others by the library's rule.  A model with a character map is refused.
+
 No piece holds a marker after another character, so a run of markers always begins a
 new segment; segments are solved apart, once for each distinct one, many at a time.
 
@@ -15,8 +18,9 @@ is but are no log scores; rank r is read as the Zipf log probability -ln(r + ZIP
 of 1/1024 so that sums are exact.
 
 Null and empty texts have no ids and decode to an empty text.  A text that holds the marker
-itself decodes to a space there (round_trip false), as in the library.  Rows that share a
-doc_id are kept apart; an empty table gives no rows; other columns are ignored.
+itself decodes to a space there (round_trip false), as in the library.  A very long text is held whole by one task, its segments
+are solved in blocks; one segment without spaces is solved at once.  Rows that share a doc_id are kept apart; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,14 +40,15 @@ from pyspark.sql import functions as F
 from .common import per_process, slices, texts
 
 MARK = "▁"
-# Kinds of pieces and of models in a SentencePiece model file, and its unknown penalty.
+# Kinds of pieces and of models in a SentencePiece model file, its unknown penalty and the cost of a user-defined piece.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-PENALTY = 10.0
+PENALTY, USER_COST = 10.0, 0.1
 ZIPF_SHIFT = 2
 #: Segments that a worker remembers.
 REMEMBERED = 150_000
 _RUNS = re.compile(" +[^ ]*")
+_SPACES = re.compile("  +")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -72,18 +77,44 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
-def read_model(file: str) -> tuple[list[tuple[str, float, int]], int]:
-    """Pieces with score and kind, in id order, and the model's kind."""
+@dataclass
+class Settings:
+    """The model's kind, whether a marker is put in front, and whether spaces at the ends and repeated ones go."""
+
+    model: int = UNIGRAM
+    prefix: bool = True
+    squeeze: bool = True
+
+
+def read_settings(file: str) -> Settings:
+    out = Settings()
+    with open(file, "rb") as f:
+        for number, value in _fields(f.read()):
+            if number == 2:
+                own = dict(_fields(value))
+                out.model = own.get(3, UNIGRAM)
+                if own.get(24, 0):
+                    raise ValueError("markers after words are not supported")
+            elif number == 3:
+                own = dict(_fields(value))
+                if own.get(2):
+                    raise ValueError("the model has a character map")
+                out.prefix, out.squeeze = bool(own.get(3, 1)), bool(own.get(4, 1))
+                if not own.get(5, 1):
+                    raise ValueError("spaces that are no markers are not supported")
+    return out
+
+
+def read_model(file: str) -> tuple[list[tuple[str, float, int]], Settings]:
+    """Pieces with score and kind, in id order, and the settings."""
     with open(file, "rb") as f:
         data = f.read()
-    pieces, model = [], UNIGRAM
+    pieces = []
     for number, value in _fields(data):
         if number == 1:
             own = dict(_fields(value))
             pieces.append((own.get(1, b"").decode(), float(np.frombuffer(own[2], "<f4")[0]) if 2 in own else 0.0, own.get(3, NORMAL)))
-        elif number == 2:
-            model = dict(_fields(value)).get(3, UNIGRAM)
-    return pieces, model
+    return pieces, read_settings(file)
 
 
 def log_scores(pieces: list[tuple[str, float, int]], model: int) -> np.ndarray:
@@ -161,11 +192,13 @@ def build_trie(keys: list[tuple[bytes, int]]) -> Trie:
 class Unigram:
     """An encoder and decoder of one vocabulary."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]], model: int):
-        self.scores = log_scores(pieces, model)
+    def __init__(self, pieces: list[tuple[str, float, int]], settings: Settings):
+        self.settings, self.scores = settings, log_scores(pieces, settings.model)
         self.kinds = np.array([k for *_, k in pieces], np.int32)
         usable = [(p.encode(), i) for i, (p, _, k) in enumerate(pieces) if k in (NORMAL, USER) and p]
         normal = self.scores[self.kinds == NORMAL]
+        for i in np.flatnonzero(self.kinds == USER).tolist():
+            self.scores[i] = len(pieces[i][0].encode()) * normal.max(initial=0.0) - USER_COST
         self.unknown_score = float(normal.min() if len(normal) else 0.0) - PENALTY
         self.unknown_id = next((i for i, (*_, k) in enumerate(pieces) if k == UNKNOWN), 0)
         self.trie = build_trie(usable)
@@ -189,7 +222,22 @@ class Unigram:
         return text.split(" ")
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
-        split = [self.segments(t) for t in batch]
+        if self.settings.squeeze:
+            batch = [_SPACES.sub(" ", t).strip(" ") for t in batch]
+        if not self.settings.prefix:
+            return self._bare(batch)
+        return self._marked(batch)
+
+    def _bare(self, batch: list[str]) -> list[np.ndarray]:
+        """Without a marker in front: what stands before the first space is solved apart."""
+        heads = [t if self.whole else t.partition(" ")[0] for t in batch]
+        first = [np.frombuffer(x, "<u4") for x in self.viterbi([h.replace(" ", MARK).encode() for h in heads])] if batch else []
+        rest = self._marked([t[len(h) + 1 :] for t, h in zip(batch, heads, strict=True)], [len(h) < len(t) for t, h in zip(batch, heads, strict=True)])
+        return [np.concatenate(x) for x in zip(first, rest, strict=True)]
+
+    def _marked(self, batch: list[str], marked: list[bool] | None = None) -> list[np.ndarray]:
+        """Texts with a marker in front; an empty text has none, unless it is `marked`."""
+        split = [self.segments(t) or [""] * bool(marked and marked[k]) for k, t in enumerate(batch)]
         new: set[str] = set()
         for parts in split:
             new.update(parts)
@@ -291,7 +339,7 @@ class Unigram:
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: byte pieces joined to UTF-8 (U+FFFD where they are none), markers to spaces, the first dropped."""
         raw = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+        return (raw[1:] if raw[:1] == b" " and self.settings.prefix else raw).decode("utf-8", "replace")
 
     def is_byte(self) -> np.ndarray:
         return self.kinds == BYTE
