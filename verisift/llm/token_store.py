@@ -44,7 +44,7 @@ from .kernels import U64, mix, window_hashes
 
 WINDOW, MIN, AVERAGE, MAX = 16, 256, 1024, 8192
 #: Words whose ids a Python worker remembers, and bytes of text that it encodes at once.
-REMEMBERED, BATCH_BYTES = 600_000, 12 << 20
+REMEMBERED, BATCH_BYTES = 300_000, 6 << 20
 #: White characters, and a space between two of them or between one and the text's end; there a split at spaces would not be the tokenizer's own.
 _SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 _INNER = rf"{_SPACE} (?:{_SPACE}|\z)"
@@ -131,7 +131,7 @@ class WordEncoder:
         codes[rows[:-1]] = len(self.words) + np.arange(len(texts))
         found = some.rows(codes)
         if len(self.words) > REMEMBERED:  # what this batch used stays
-            used = np.unique(codes[inner])
+            used = np.flatnonzero(np.bincount(codes[inner], minlength=1))
             self.words, self.ids = self.words.take(pa.array(used)), self.ids.rows(used)
         ends = np.cumsum(found.sizes)[rows[1:] - 1]
         return np.insert(found.flat, ends, np.uint32(end)), np.concatenate([[0], ends + np.arange(1, len(texts) + 1)])
@@ -159,7 +159,7 @@ def cuts(n: int, asked: list[int]) -> list[int]:
 
 @functools.cache
 def _compressor() -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=3)
+    return zstandard.ZstdCompressor(level=1)
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -218,7 +218,10 @@ def _stage(file: str, end_id: int):
                 seen = set()
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
             columns = list(zip(*docs, *chunks, strict=True)) if docs else [()] * 7
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _STAGED.split(", ")])
+            out = pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _STAGED.split(", ")])
+            del docs, chunks, columns, whole, raw
+            pa.default_memory_pool().release_unused()
+            yield out
 
     return stage
 
@@ -226,7 +229,7 @@ def _stage(file: str, end_id: int):
 def write_store(docs: DataFrame, at: str, tokenizer: str, end_id: int) -> None:
     """Writes chunks and recipes of (doc_id, text) below the folder `at`."""
     spark = docs.sparkSession
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_stage(tokenizer, end_id), _STAGED).write.parquet(f"{at}/staged")
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_stage(tokenizer, end_id), _STAGED).write.option("compression", "none").parquet(f"{at}/staged")
     staged = spark.read.schema(_STAGED).parquet(f"{at}/staged")
     staged.where("name is not null").select("name", "n", "body").dropDuplicates(["name"]).write.option("compression", "none").parquet(f"{at}/chunks")
     # The place in the staged files parts rows of one id (or of none) among tasks.
