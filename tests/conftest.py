@@ -43,12 +43,20 @@ def sf_dir():
     return DATA
 
 
+def _family(dtype) -> str:
+    return {"u": "i", "i": "i", "f": "f", "b": "b"}.get(getattr(dtype, "kind", "O"), "O")
+
+
 def same(spark_rows, duck_rows) -> None:
-    """Equal columns and rows in any order."""
+    """Equal columns, kinds of types and rows, in any order; a null equals a null alone."""
     columns = sorted(spark_rows.columns)
     assert columns == sorted(duck_rows.columns)
+    assert len(spark_rows) == len(duck_rows)
     a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (spark_rows, duck_rows))
-    assert len(a) == len(b)
     for c in columns:
-        equal = (a[c] == b[c]) | (a[c].isna() & b[c].isna())
-        assert equal.all(), (c, a[c][~equal].head(3).tolist(), b[c][~equal].head(3).tolist())
+        nulls, others = a[c].isna().to_numpy(), b[c].isna().to_numpy()
+        assert (nulls == others).all(), (c, a[c][nulls != others].head(3).tolist(), b[c][nulls != others].head(3).tolist())
+        if len(a) and not nulls.any():
+            assert _family(a[c].dtype) == _family(b[c].dtype), (c, a[c].dtype, b[c].dtype)
+        x, y = a[c][~nulls].tolist(), b[c][~nulls].tolist()
+        assert x == y, (c, [p for p in zip(x, y, strict=True) if p[0] != p[1]][:3])

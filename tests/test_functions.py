@@ -100,7 +100,7 @@ RECORD = T.StructType([T.StructField("name", T.StringType()), T.StructField("val
 def test_repair(spark):
     rows = spark.createDataFrame([('{"name":"test","value":"not-a-number"}',), ('{"name":"test"}',), ('{"name":"t","value":1,"extra":2,"no_bias_detected":true}',), ("nothing",), ("",), ("[1]",), (None,)], "t string")
     found = [tuple(r.record) if r.record else None for r in jsontext.with_record(rows, "t", RECORD).collect()]
-    assert found == [("test", None, None), ("test", None, None), ("t", 1, True), None, None, None, None]
+    assert found == [("test", None, None), ("test", None, None), ("t", 1, True), None, None, (None, None, None), None]
     short = jsontext.with_record(rows, "t", RECORD, {"name": lambda c: F.length(c) > 1}).collect()
     assert [r.record.name if r.record else None for r in short] == ["test", "test", None, None, None, None, None]
 

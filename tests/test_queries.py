@@ -29,3 +29,16 @@ def test_append_runs_fills_ids(spark, sf_dir):
     rows = registry.queries()["append_runs"](spark, sf_dir)
     assert rows.where("id IS NULL OR created_at IS NULL").count() == 0
     assert rows.select("id").distinct().count() == rows.count()
+
+
+def test_the_comparison_sees_nulls_and_types():
+    import pandas as pd
+
+    one = pd.DataFrame({"a": [1, 2], "b": ["x", None]})
+    same(one, one.copy())
+    for other in ({"a": [1, None], "b": ["x", None]}, {"a": [1, 2], "b": ["x", ""]}, {"a": [1, 3], "b": ["x", None]}, {"a": [1.0, 2.0], "b": ["x", None]}, {"a": pd.array([1, None], "Int64"), "b": ["x", None]}):
+        for pair in ((one, pd.DataFrame(other)), (pd.DataFrame(other), one)):
+            with pytest.raises(AssertionError):
+                same(*pair)
+    with pytest.raises(AssertionError):
+        same(pd.DataFrame({"a": [0]}), pd.DataFrame({"a": pd.array([None], "Int64")}))

@@ -23,15 +23,21 @@ def call_status(error: Column) -> Column:
     )
 
 
-def provider_error(message: Column) -> Column:
-    """Kind (rate_limit, timeout, other), limit type and seconds to the reset, from the message's words."""
+def provider_error(message: Column, status: Column | None = None, at: Column | None = None) -> Column:
+    """Kind (rate_limit, timeout, other), limit type and seconds to the reset, from the status code and the message's words.
+
+    at: the time of the error; then reset_at, the time of the reset, is given too.
+    """
     low = F.lower(message)
     limited = F.contains(message, F.lit("429")) | F.contains(low, F.lit("rate limit"))
+    if status is not None:
+        limited = F.coalesce(status == 429, F.lit(False)) | F.coalesce(limited, F.lit(False))
     seconds = F.regexp_extract(message, r"(?i)reset\s+in\s+(\d+)\s+seconds", 1)
     return F.struct(
         F.when(limited, "rate_limit").when(low.rlike("timeout|timed out|deadline exceeded"), "timeout").otherwise("other").alias("kind"),
         F.when(limited, F.when(low.rlike("quota|daily"), "daily").otherwise("per-minute")).alias("limit_type"),
         F.when(limited & (seconds != ""), seconds.cast("long")).alias("reset_seconds"),
+        *([] if at is None else [F.when(limited & (seconds != ""), F.timestamp_add("SECOND", seconds.cast("int"), at)).alias("reset_at")]),
     )
 
 

@@ -31,3 +31,16 @@ def false_positive(biases: Column, is_neutral: Column, threshold: Column | None
     limit = F.lit(THRESHOLD) if threshold is None else F.coalesce(threshold, F.lit(THRESHOLD))
     found = F.exists(biases, lambda b: F.coalesce(b["confidence"], F.lit(UNSTATED)) > limit)
     return F.when(is_neutral, F.coalesce(found, F.lit(False))).when(~is_neutral, F.lit(False))
+
+
+def flag_code(flag: Column, null_as_zero: bool = False) -> Column:
+    """1 for true, 0 for false; null stays, or counts as 0, as the two kinds of stored results have it."""
+    code = flag.cast("int")
+    return F.coalesce(code, F.lit(0)) if null_as_zero else code
+
+
+def n_violations(biases: Column, story: Column, answers: Column) -> Column:
+    """Faults of all findings: one for a finding without evidence, one for each entry that is empty or not in the input."""
+    bad = lambda b: F.size(F.filter(b["evidence"], lambda e: ~excerpt_in_input(e["excerpt"], story, answers)))
+    each = F.transform(biases, lambda b: F.when(F.coalesce(F.size(b["evidence"]), F.lit(0)) == 0, F.lit(1)).otherwise(bad(b)))
+    return F.coalesce(F.aggregate(each, F.lit(0), lambda s, x: s + x), F.lit(0))

@@ -55,11 +55,11 @@ def input_hash(version: Column, model: Column, story: Column, answers: Column) -
 
 
 def render(template: Column, values: dict[str, Column]) -> Column:
-    """The first {{key}} of each key replaced by its value."""
+    """The first {{key}} of each key replaced by its value; a null one counts as empty."""
 
     def put(text: Column, item: tuple[str, Column]) -> Column:
         mark = "{{" + item[0] + "}}"
         at = F.instr(text, mark)
-        return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), item[1], F.substr(text, at + len(mark)))).otherwise(text)
+        return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), F.coalesce(item[1], F.lit("")), F.substr(text, at + len(mark)))).otherwise(text)
 
     return reduce(put, values.items(), template)

@@ -34,6 +34,20 @@ def top_interpretations(interpretations: Column, n: int = 2) -> Column:
     return F.array_join(lines, "\n")
 
 
+def context(analysis: Column, interpretations: Column) -> Column:
+    """What the questions' prompt says of a story: themes, tone and events where they are known, then the first interpretations."""
+    empty = F.lit("")
+    of = lambda name, value: F.concat(F.lit(f"{name}: "), F.coalesce(value, empty), F.lit("\n"))
+    known = F.when(analysis.isNotNull(), F.concat(of("Themes", F.array_join(analysis["themes"], ", ")), of("Emotional tone", analysis["emotional_tone"]), of("Key events", F.array_join(analysis["key_events"], ", "))))
+    some = F.when(F.size(interpretations) > 0, F.concat(F.lit("\nPlausible interpretations:\n"), top_interpretations(interpretations)))
+    return F.concat(F.coalesce(known, empty), F.coalesce(some, empty))
+
+
+def question_prompt(story: Column, context_text: Column) -> Column:
+    """The user's part of the questions' prompt."""
+    return F.when(F.length(context_text) > 0, F.concat(F.lit("REASONING CONTEXT:\n"), context_text, F.lit("\n\nSTORY: "), story)).otherwise(F.concat(F.lit("STORY: "), story))
+
+
 def public_view(assessments: DataFrame, prompt_version: str, model: str, with_trace: bool = False) -> DataFrame:
     """Stamped with versions and the input's kind, without the trace unless asked for."""
     stamped = assessments.withColumns({"prompt_version": F.lit(prompt_version), "model_name": F.lit(model), "input_context": F.when(F.col("mode") == "story_only", "story-only").otherwise("full")})

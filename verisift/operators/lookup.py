@@ -44,11 +44,50 @@ def best_matches(labels: DataFrame, catalog: DataFrame) -> DataFrame:
     return best.select("label", F.col("best.name").alias("matched"), F.col("best.confidence").alias("confidence"), F.when(accepted, F.col("best.id")).alias("catalog_id"), F.when(accepted, F.col("best.name")).otherwise(F.col("label")).alias("normalized"))
 
 
+def normalize_names(labels: DataFrame, catalog: DataFrame) -> DataFrame:
+    """label, normalized, catalog_id and confidence for each distinct label: an accepted entry's name and id, else the label itself.
+
+    An accepted match has a token in common, so only such pairs meet; nothing is held against the whole catalog.
+    """
+    wanted = labels.select("label").where(F.col("label").isNotNull()).distinct().withColumn("plain", text.normalize_label(F.col("label")))
+    entries = catalog.select("pos", "id", "name", text.normalize_label(F.col("name")).alias("entry"))
+    token = lambda c: F.explode(F.array_distinct(text.tokens(F.col(c)))).alias("token")
+    met = wanted.where("plain <> ''").select("label", "plain", token("plain")).join(entries.select("pos", "id", "name", "entry", token("entry")), "token").drop("token").distinct()
+    scored = met.select("label", F.struct(F.round(text.similarity(F.col("plain"), F.col("entry")), 9).alias("confidence"), (-F.col("pos")).alias("order"), "id", "name").alias("s"))
+    best = scored.groupBy("label").agg(F.max("s").alias("best")).where(F.col("best.confidence") > text.ACCEPT)
+    return wanted.select("label").join(best, "label", "left").select("label", F.coalesce("best.name", "label").alias("normalized"), F.col("best.id").alias("catalog_id"), F.col("best.confidence").alias("confidence"))
+
+
+#: Words of a shingle by which texts and excerpts meet.
+SHINGLE = 4
+
+
+def _shingles(words: Column) -> Column:
+    """Hashes of each SHINGLE words in a row."""
+    each = F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
+    return F.when(F.size(words) >= SHINGLE, each).otherwise(F.array().cast("array<bigint>"))
+
+
 def containing(documents: DataFrame, excerpts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Keys of the documents whose text holds any non-empty excerpt verbatim."""
-    wanted = excerpts.where(F.length("text") > 0).select("text").distinct()
-    met = against(documents.select(key, "text"), wanted, F.col("text"), F.octet_length("text"), [key])
-    return met.where(F.exists("entries", lambda e: F.contains(F.col("text"), e))).select(key).distinct()
+    """Keys of the documents whose text holds any non-empty excerpt verbatim.
+
+    An excerpt's words but its first and last stand whole in any text that holds it.  It is known by the shingle of them that fewest
+    excerpts share; documents with that shingle are tested.  Excerpts of too few words are held against all rows, in blocks.
+    """
+    wanted = excerpts.where(F.length("text") > 0).select(F.col("text").alias("excerpt")).distinct()
+    words = lambda c: F.split(c, r"\s+")
+    inner = wanted.withColumn("inner", F.slice(words(F.col("excerpt")), F.lit(2), F.greatest(F.size(words(F.col("excerpt"))) - 2, F.lit(0))))
+    each = inner.where(F.size("inner") >= SHINGLE).select("excerpt", F.explode(F.array_distinct(_shingles(F.col("inner")))).alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count("*").alias("n"))
+    anchors = each.join(shared, "shingle").groupBy("excerpt").agg(F.min(F.struct("n", "shingle")).alias("a")).select("excerpt", "a.shingle")
+    texts = documents.select(key, "text").where(F.col("text").isNotNull())
+    near = texts.select(key, F.explode(_shingles(words(F.col("text")))).alias("shingle")).join(anchors, "shingle").select(key, "excerpt").distinct()
+    found = near.join(texts, key).where(F.contains("text", F.col("excerpt"))).select(key)
+    short = inner.where(F.size("inner") < SHINGLE).select(F.col("excerpt").alias("text"))
+    if not short.isEmpty():
+        met = against(texts, short, F.col("text"), F.octet_length("text"), [key])
+        found = found.union(met.where(F.exists("entries", lambda e: F.contains(F.col("text"), e))).select(key))
+    return found.distinct()
 
 
 def keep_if(documents: DataFrame, found: DataFrame, key: str, inside: bool) -> DataFrame:

@@ -5,9 +5,13 @@ Reliability and trace analytics give 0 where there is nothing to count; evaluati
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import TRACE
+
 # The gate's default limits.
 GATE = {"grounded": 0.9, "false_positive": 0.1, "schema_parse": 0.95, "repair": 0.05}
 
@@ -35,6 +39,40 @@ def reliability(calls: DataFrame, *dims: str) -> DataFrame:
     return calls.groupBy(*dims).agg(*_reliability()) if dims else calls.agg(*_reliability())
 
 
+#: Ranges that the values of a group are parted into by exact_percentiles.
+RANGES = 256
+
+
+def exact_percentiles(rows: DataFrame, column: str, shares: list[float], *dims: str) -> DataFrame:
+    """dims and `percentiles`, an array, interpolated as the built-in does, for groups of any number of distinct values.
+
+    A sketch gives cut points, one pass counts the values between them, and only the ranges that hold a wanted rank are sorted, each by
+    itself.  Groups without a value have no row.
+    """
+    one_row = (lambda df: df) if dims else F.broadcast  # without groups a few rows are all there is
+    some = rows.where(F.col(column).isNotNull()).select(*dims, F.col(column).cast("double").alias("v"))
+    cuts = some.groupBy(*dims).agg(F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)], 20 * RANGES).alias("cuts"), F.count("*").alias("total"))
+    cuts = cuts.select(*[F.col(d).alias(f"_{d}") for d in dims], "cuts", "total")
+    same = reduce(Column.__and__, [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in dims], F.lit(True))
+    both = some.join(one_row(cuts), same).select(*dims, "v", "total", F.size(F.filter(F.array_distinct("cuts"), lambda c: c <= F.col("v"))).alias("range"))
+    counted = both.groupBy(*dims, "range").agg(F.count("*").alias("held"), F.first("total").alias("total"))
+    before = F.sum("held").over(Window.partitionBy(*dims).orderBy("range")) - F.col("held")
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p * (F.col("total") - 1)), F.ceil(p * (F.col("total") - 1))) for p in map(F.lit, shares)])))
+    here = counted.withColumn("before", before).withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("held")))).where(F.size("ranks") > 0)
+    wanted = here.select(*[F.col(d).alias(f"_{d}") for d in dims], F.col("range").alias("_range"), "before", "ranks")
+    values = both.join(one_row(wanted), same & (F.col("range") == F.col("_range"))).groupBy(*dims, "range", "v").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("ranks").alias("ranks"), F.first("total").alias("total"))
+    end = F.col("before") + F.sum("n").over(Window.partitionBy(*dims, "range").orderBy("v"))
+    found = values.withColumn("end", end).withColumn("rank", F.explode(F.filter("ranks", lambda r: (r < F.col("end")) & (r >= F.col("end") - F.col("n")))))
+    picked = found.groupBy(*dims).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"), F.first("total").alias("total"))
+
+    def one(p: float) -> Column:
+        place = F.lit(p) * (F.col("total") - 1)
+        low, high = F.col("at")[F.floor(place)], F.col("at")[F.ceil(place)]
+        return low + (high - low) * (place - F.floor(place))
+
+    return picked.select(*dims, F.array(*map(one, shares)).alias("percentiles"))
+
+
 def evaluation_gate(stories: DataFrame, limits: dict[str, float] | None = None) -> DataFrame:
     """One row: rates of (dataset, grounded_rate, false_positive, error, required_repair, repair_succeeded) and whether they pass.
 
@@ -63,13 +101,17 @@ def system_metrics(responses: DataFrame) -> DataFrame:
 
 
 def trace_analytics(traces: DataFrame) -> DataFrame:
-    """One row over traces with `hypotheses` (bias_name, confidence, excerpts); each trace is folded before the one aggregation."""
+    """One row over traces with `hypotheses` (bias_name, confidence, excerpts); each trace is folded before the one aggregation.
+
+    Null arrays count as empty, null confidences as 0.
+    """
     found = F.coalesce("hypotheses", F.expr("CAST(array() AS array<struct<bias_name:string,confidence:double,excerpts:array<string>>>)"))
+    n_excerpts = lambda h: F.coalesce(F.size(h["excerpts"]), F.lit(0))
     folded = traces.select(
         F.size(found).alias("n"),
-        F.aggregate(found, F.lit(0.0), lambda s, h: s + h["confidence"]).alias("confidence"),
-        F.aggregate(found, F.lit(0), lambda s, h: s + F.size(h["excerpts"])).alias("excerpts"),
-        F.size(F.filter(found, lambda h: F.size(h["excerpts"]) > 0)).alias("covered"),
+        F.aggregate(found, F.lit(0.0), lambda s, h: s + F.coalesce(h["confidence"], F.lit(0.0))).alias("confidence"),
+        F.aggregate(found, F.lit(0), lambda s, h: s + n_excerpts(h)).alias("excerpts"),
+        F.size(F.filter(found, lambda h: n_excerpts(h) > 0)).alias("covered"),
     )
     total, n = F.count("*"), F.coalesce(F.sum("n"), F.lit(0))
     return folded.agg(
@@ -78,6 +120,12 @@ def trace_analytics(traces: DataFrame) -> DataFrame:
     )
 
 
+def read_traces(rows: DataFrame, column: str = "trace") -> DataFrame:
+    """Stored traces, JSON of the trace contract, to rows with `hypotheses`; other columns stay, a text that is no trace has none."""
+    found = F.from_json(column, TRACE)["bias_hypotheses"]
+    return rows.withColumn("hypotheses", F.transform(found, lambda h: F.struct(h["bias_name"].alias("bias_name"), h["confidence"].alias("confidence"), h["supporting_excerpts"].alias("excerpts"))))
+
+
 def bias_distribution(traces: DataFrame) -> DataFrame:
     return traces.select(F.explode("hypotheses").alias("h")).groupBy(F.col("h.bias_name").alias("bias_name")).agg(F.count("*").alias("n"))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -43,16 +43,19 @@ def first_or_none(table: DataFrame, *keys: str) -> DataFrame:
 
 
 def calls_between(calls: DataFrame, start: datetime | None, end: datetime | None, oldest: int | None = None, **equal: object) -> DataFrame:
-    """Calls of a closed time range; a missing end is the newest call's time, a missing start 30 days before it.
+    """Calls of a closed time range; a missing end is the newest call's time, a missing start 30 days before it (one row is read first).
 
     `oldest` keeps that many of the oldest rows, as the recorded service does; None keeps all.
     """
     rows = where_equal(calls, **equal)
     if start is None or end is None:
-        newest = calls.agg(F.max("created_at").alias("newest"))
-        rows = rows.join(F.broadcast(newest)).where((F.col("created_at") >= (F.lit(start) if start else F.col("newest") - F.expr("INTERVAL 30 DAYS"))) & (F.col("created_at") <= (F.lit(end) if end else F.col("newest")))).drop("newest")
-    else:
-        rows = rows.where(F.col("created_at").between(F.lit(start), F.lit(end)))
+        newest = calls.agg(F.max("created_at")).first()[0]
+        if newest is None:
+            return rows.limit(0)
+        start, end = start or newest - timedelta(days=30), end or newest
+    # Literals of the column's own type reach the scan.
+    kind = calls.schema["created_at"].dataType
+    rows = rows.where(F.col("created_at").between(F.lit(start).cast(kind), F.lit(end).cast(kind)))
     return rows if oldest is None else rows.orderBy("created_at", "id").limit(oldest)
 
 

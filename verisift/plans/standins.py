@@ -58,6 +58,12 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id")).join(found, "run_id", "left").withColumn("hypotheses", F.coalesce("hypotheses", F.expr("CAST(array() AS array<struct<bias_name:string,confidence:double,excerpts:array<string>>>)")))
 
 
+def stored_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per run with its trace as the JSON that a store holds; hypotheses without excerpts lack the field, runs without lines have none."""
+    found = hypotheses(spark, sf_dir).groupBy("run_id").agg(F.collect_list(F.struct("bias_name", "confidence", F.when(F.col("n_excerpts") > 0, F.expr("array_repeat(bias_name, CAST(n_excerpts AS INT))")).alias("supporting_excerpts"))).alias("bias_hypotheses"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id")).join(found, "run_id", "left").select("run_id", F.coalesce(F.when(F.size("bias_hypotheses") > 0, F.to_json(F.struct("bias_hypotheses"))), F.lit("{}")).alias("trace"))
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation results; rows without a label have no verdict."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), table(spark, sf_dir, "labels")
@@ -102,6 +108,26 @@ def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(ident.alias("id"), text.alias("story"), F.array(F.lit("an answer")).alias("answers"), kept.alias("biases"), (ident % 2 == 0).alias("is_neutral"), F.when(ident % 4 == 0, F.lit(0.35)).alias("threshold"), F.when(ident % 3 == 0, "story_only").otherwise("full").alias("mode"), F.when(ident % 6 < 4, ident % 6 < 2).alias("flag"), F.lit("trace").alias("reasoning_trace"))
 
 
+def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded calls of assessments: every seventh is cut off, and of those only the even ones have a valid fallback."""
+    named = F.transform("biases", lambda b: F.struct(F.when(b["name"] == "start", "start bias!").otherwise(b["name"]).alias("name"), F.lit("An explanation.").alias("explanation"), F.lit("A connection.").alias("storyConnection"), F.lit("Another view.").alias("alternativePerspective"), b["evidence"].alias("evidence")))
+    body = lambda flag: F.to_json(F.struct(named.alias("biases"), F.lit("Think about it again.").alias("reflectionPrompt"), flag.alias("noBiasDetected")))
+    rows = assessments(spark, sf_dir).withColumn("body", body(F.col("flag"))).withColumn("second", body(F.lit(True)))
+    cut = F.col("id") % 7 == 0
+    return rows.select("id", "story", "answers", F.when(F.col("id") % 3 == 0, "story_only").otherwise("story_plus_answers").alias("scope"), F.lit("v1").alias("prompt_version"), F.lit("m").alias("model_name"), F.when(cut, F.expr("left(body, length(body) - 1)")).otherwise(F.concat(F.lit("So: "), "body", F.lit(" }"))).alias("raw_response"), F.when(cut & (F.col("id") % 2 == 0), F.col("second")).otherwise("{}").alias("fallback_response"))
+
+
+def eval_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    neutral = F.col("item_id") % 2 == 0
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("A title").alias("title"), F.col("text").alias("story"), F.when(neutral, "no_bias").otherwise("golden").alias("dataset"), F.when(F.col("item_id") % 4 == 0, 0.7).otherwise(0.25).alias("threshold"))
+
+
+def eval_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded outputs of the stories: some are missing, some are errors."""
+    ident = F.col("id")
+    return assessments(spark, sf_dir).where(ident % 13 > 0).select("id", "answers", "biases", F.when(ident % 11 == 0, "timeout").alias("error"), (ident % 5 == 0).alias("required_repair"), (ident % 10 == 0).alias("repair_succeeded"))
+
+
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluated stories for the gate: one per event."""
     c = calls(spark, sf_dir)

@@ -7,12 +7,45 @@ rows do nothing.  A store that was never written is empty.
 from __future__ import annotations
 
 from datetime import datetime
+from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
-from .operators import store
+from .operators import metrics, store
+
+
+class Runs(Protocol):
+    """What an engine needs of a store of runs; any table format can give it."""
+
+    def add(self, rows: DataFrame) -> None: ...
+    def read(self) -> DataFrame: ...
+    def by_session(self, session_id: str) -> DataFrame: ...
+
+
+class Traces(Protocol):
+    def add(self, rows: DataFrame) -> None: ...
+    def read(self) -> DataFrame: ...
+    def by_run(self, run_id: str) -> DataFrame: ...
+    def hypotheses(self) -> DataFrame: ...
+
+
+class Results(Protocol):
+    def add(self, rows: DataFrame) -> None: ...
+    def read(self) -> DataFrame: ...
+    def by_hash(self, input_hash: str, prompt_version: str) -> DataFrame: ...
+    def latest(self, prompt_version: str, n: int) -> DataFrame: ...
+    def by_eval_run(self, eval_run_id: str) -> DataFrame: ...
+    def aggregates(self) -> DataFrame: ...
+
+
+class Calls(Protocol):
+    def add(self, rows: DataFrame) -> None: ...
+    def read(self) -> DataFrame: ...
+    def update_parsed_output(self, rows: DataFrame) -> None: ...
+    def update_failure(self, rows: DataFrame) -> None: ...
+    def for_metrics(self, start: datetime | None, end: datetime | None, provider: str | None, model: str | None, stage: str | None, oldest: int | None) -> DataFrame: ...
 
 
 class _Store:
@@ -50,13 +83,32 @@ class TraceStore(_Store):
     def by_run(self, run_id: str) -> DataFrame:
         return store.first_or_none(self.read().where(F.col("run_id") == run_id), "created_at", "id")
 
+    def hypotheses(self) -> DataFrame:
+        """All traces with their hypotheses as metrics.trace_analytics takes them."""
+        return metrics.read_traces(self.read())
+
     def without_orphans(self, runs: RunStore) -> DataFrame:
         return store.cascade(self.read(), runs.read().select(F.col("id").alias("run_id")), "run_id")
 
 
+def checked(json: Column, ddl: str) -> Column:
+    """A record of rates; a malformed text or a rate outside 0 to 1 fails the read."""
+    record = F.from_json(json, ddl, {"mode": "FAILFAST"})
+    wrong = [~record[f.name].between(0, 1) for f in schemas.schema(ddl)]
+    bad = F.coalesce(wrong[0], F.lit(False))
+    for w in wrong[1:]:
+        bad = bad | F.coalesce(w, F.lit(False))
+    return F.when(bad, F.raise_error(F.concat(F.lit("a rate outside 0 to 1: "), json)).cast(schemas.schema(ddl))).otherwise(record)
+
+
 class ResultStore(_Store):
     name, time = "results", "run_at"
 
+    def records(self) -> DataFrame:
+        """All results with both metrics as records, checked."""
+        rows = self.read()
+        return rows.withColumns({"evaluation_metrics": checked(F.col("evaluation_metrics"), schemas.METRICS), "system_metrics": checked(F.col("system_metrics"), schemas.SYSTEM_METRICS)})
+
     def by_hash(self, input_hash: str, prompt_version: str) -> DataFrame:
         return store.first_or_none(self.read().where((F.col("input_hash") == input_hash) & (F.col("prompt_version") == prompt_version)), "run_at", "id")
 
