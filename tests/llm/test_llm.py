@@ -705,7 +705,7 @@ def sample(parsed, r):
         op = str(op)
         if op == "LITERAL":
             out += chr(x)
-        elif op == "NOT_LITERAL":
+        elif op in ("NOT_LITERAL", "ANY"):
             out += "q"
         elif op == "IN":
             kind, y = r.choice([("CATEGORY", None)] if str(x[0][0]) == "NEGATE" else [(str(k), v) for k, v in x])
@@ -731,6 +731,26 @@ def test_every_match_of_a_rule_passes_its_keyword_and_the_gate():
             assert keyword in x and gate.search(x), (label, keyword, x)
 
 
+def test_detections_equal_brute_force(spark):
+    """Every rule's own matches, alone and in company, against a plain search with the same order and containment."""
+    r = random.Random(12)
+    found = [sample(re._parser.parse(pattern), r) for _, _, pattern in licenses.RULES for _ in range(2)]
+    texts = found + [r.choice([" ", ". ", "\n"]).join([*r.sample(found, r.randint(1, 6)), "MIT License"][:: r.choice([1, -1])]) for _ in range(300)]
+    compiled = [(label, keyword, re.compile(pattern, re.A)) for label, keyword, pattern in licenses.RULES]
+    gate = re.compile(rf"\b(?:{'|'.join(map(licenses._literal, licenses.GATE))})", re.I | re.A)
+
+    def brute(text):
+        low = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        hits = [(m.start(), -m.end(), k, label) for k, (label, keyword, p) in enumerate(compiled) if keyword in low for m in p.finditer(low)] if gate.search(text) else []
+        kept = [h for h in hits if not any(g[0] <= h[0] and g[1] <= h[1] and g[:3] != h[:3] and (g[:2] != h[:2] or g[2] < h[2]) for g in hits)]
+        return ",".join(sorted({h[3] for h in kept})), len(kept)
+
+    rows = licenses.scan(frame(spark, list(enumerate(texts)), extra=False)).select("doc_id", "method_labels", "n_detections").collect()
+    for row in rows:
+        assert (row.method_labels, row.n_detections) == brute(texts[row.doc_id]), texts[row.doc_id]
+    assert len({x for row in rows for x in row.method_labels.split(",")}) > 200
+
+
 def test_names_without_the_keyword_of_another_name(spark):
     rows = [(1, "MIT No Attribution"), (2, "CreativeML Open RAIL-M"), (3, "the Expat License"), (4, "Unicode Terms of Use"), (5, "OpenRAIL-M, MIT-0")]
     got = {x.doc_id: x.method_labels for x in licenses.scan(frame(spark, rows)).collect()}

@@ -7,8 +7,8 @@ suppressed; of two equal intervals the rule of higher priority stays.  The label
 method's own (`method_labels`).  Base labels (see BASE) are found by places of words and never suppressed.
 
 Patterns are matched on the text with A-Z lower-cased; \\s+ stands for any white space, so that lines may break anywhere.
-Null texts count as empty.  Rows that share a doc_id are kept apart; an empty table gives no rows; columns
-of other names are carried by `scan`, those it makes are replaced.
+Null texts count as empty, a very long text is scanned whole in its row.  Rows that share a doc_id are kept apart; an empty table gives
+no rows; columns of other names are carried by `scan`, those it makes are replaced.
 """
 
 from __future__ import annotations
@@ -147,6 +147,140 @@ RULES: list[tuple[str, str, str]] = [
     ("unicode", "unicode", r"\bunicode\s+(?:terms\s+of\s+use|licen[cs]e)\b"),
     ("w3c", "w3c", r"\bw3c\s+(?:software\s+(?:notice\s+and\s+)?)?licen[cs]e\b"),
     ("llama", "llama", r"\bllama\s*\d?(?:\.\d)?\s+community\s+licen[cs]e\b"),
+    # Grants, conditions and disclaimers by their own words.
+    ("mit", "substantial", r"the\s+above\s+copyright\s+notice\s+and\s+this\s+permission\s+notice\s+shall\s+be\s+included\s+in\s+all\s+copies\s+or\s+substantial\s+portions"),
+    ("mit-modern", "permission", r"permission\s+is\s+hereby\s+granted,\s+without\s+written\s+agreement\s+and\s+without\s+license\s+or\s+royalty\s+fees"),
+    ("mit-cmu", "permission", r"permission\s+to\s+use,\s+copy,\s+modify\s+and\s+distribute\s+this\s+software\s+and\s+its\s+documentation\s+for\s+any\s+purpose\s+and\s+without\s+fee"),
+    ("hpnd", "permission", r"permission\s+to\s+use,\s+copy,\s+modify,?\s+(?:and\s+)?distribute,?\s+and\s+sell\s+this\s+software\s+and\s+its\s+documentation"),
+    ("apache-2.0", "apache", r"licensed\s+under\s+the\s+apache\s+license,\s+version\s+2\.0\s+\(the\s+.?license.?\)"),
+    ("apache-2.0", "compliance", r"you\s+may\s+not\s+use\s+this\s+file\s+except\s+in\s+compliance\s+with\s+the\s+license"),
+    ("apache-2.0", "perpetual", r"perpetual,\s+worldwide,\s+non-exclusive,\s+no-charge,\s+royalty-free,\s+irrevocable\s+copyright\s+license"),
+    ("apache-1.1", "jakarta", r"the\s+names\s+.?the\s+jakarta\s+project.?"),
+    ("apache-1.0", "credit", r"this\s+product\s+includes\s+software\s+developed\s+by\s+the\s+apache\s+group\s+for\s+use\s+in\s+the\s+apache\s+http\s+server\s+project.{0,40}credit"),
+    ("gpl", "redistribute", r"this\s+program\s+is\s+free\s+software[;:]\s+you\s+can\s+redistribute\s+it\s+and/or\s+modify"),
+    ("gpl", "redistribute", r"this\s+library\s+is\s+free\s+software[;:]\s+you\s+can\s+redistribute\s+it\s+and/or\s+modify"),
+    ("gpl", "merchantability", r"without\s+even\s+the\s+implied\s+warranty\s+of\s+merchantability\s+or\s+fitness\s+for\s+a\s+particular\s+purpose"),
+    ("gpl-classpath", "classpath", r"classpath\s+exception"),
+    ("gpl-linking", "linking", r"linking\s+(?:this\s+library|exception)\s+(?:statically\s+or\s+dynamically\s+)?with\s+other\s+modules"),
+    ("gcc-exception", "runtime", r"gcc\s+runtime\s+library\s+exception"),
+    ("linux-syscall-note", "syscall", r"(?:linux-syscall-note|normal\s+syscalls?\s+is\s+not\s+covered)"),
+    ("font-exception", "embed", r"if\s+you\s+create\s+a\s+document\s+which\s+uses\s+this\s+font,\s+and\s+embed\s+this\s+font"),
+    ("bison-exception", "bison", r"special\s+exception\s(?:.{0,60}\s)?bison"),
+    ("autoconf-exception", "autoconf", r"configure\s+scripts?\s+(?:that\s+(?:is|are)\s+)?(?:generated|output)\s+(?:by\s+)?(?:of\s+)?autoconf"),
+    ("openssl-exception", "openssl", r"permission\s+to\s+link\s+(?:the\s+code\s+of\s+)?(?:portions\s+of\s+)?this\s+program\s+with\s+the\s+openssl\s+library"),
+    ("llvm-exception", "llvm", r"\bllvm[\s-]+exceptions?\b"),
+    ("agpl", "interacting", r"all\s+users\s+interacting\s+with\s+it\s+remotely\s+through\s+a\s+computer\s+network"),
+    ("mpl-2.0", "exhibit", r"exhibit\s+a\s+-\s+source\s+code\s+form\s+license\s+notice"),
+    ("mpl-2.0", "mozilla", r"subject\s+to\s+the\s+terms\s+of\s+the\s+mozilla\s+public\s+license,\s+v\.\s+2\.0"),
+    ("mpl-1.1", "npl", r"\bnpl/gpl/lgpl\b|\bmpl/gpl/lgpl\s+\(npl\)"),
+    ("epl", "eclipse.org", r"eclipse\.org/legal/epl-v\d"),
+    ("cddl", "opensolaris", r"opensolaris\.license|opensolaris\.org/os/licensing"),
+    ("bsd-3-clause", "contributors", r"neither\s+the\s+names?\s+of\s+(?:the\s+)?\S+(?:\s+\S+){0,8}\s+nor\s+the\s+names\s+of\s+(?:its|their)\s+contributors"),
+    ("bsd-2-clause", "retain", r"redistributions\s+of\s+source\s+code\s+must\s+retain\s+the\s+above\s+copyright\s+notice"),
+    ("bsd-2-clause", "reproduce", r"redistributions\s+in\s+binary\s+form\s+must\s+reproduce\s+the\s+above\s+copyright\s+notice"),
+    ("bsd-disclaimer", "provided", r"provided\s+by\s+the\s+(?:copyright\s+holders(?:\s+and\s+contributors)?|regents(?:\s+and\s+contributors)?|authors?)\s+.{0,2}as\s+is"),
+    ("bsd-4-clause-uc", "regents", r"the\s+regents\s+of\s+the\s+university\s+of\s+california"),
+    ("bsd-patent", "patent", r"additional\s+grant\s+of\s+patent\s+rights"),
+    ("bsd-nuclear", "nuclear", r"not\s+designed,\s+licensed\s+or\s+intended\s+for\s+use\s+in\s+the\s+design,\s+construction,\s+operation\s+or\s+maintenance\s+of\s+any\s+nuclear\s+facility"),
+    ("isc", "copies", r"provided\s+that\s+the\s+above\s+copyright\s+notice\s+and\s+this\s+permission\s+notice\s+appear\s+in\s+all\s+copies"),
+    ("0bsd", "granted", r"with\s+or\s+without\s+fee\s+is\s+hereby\s+granted\.\s+the\s+software\s+is\s+provided"),
+    ("zlib", "misrepresented", r"the\s+origin\s+of\s+this\s+software\s+must\s+not\s+be\s+misrepresented"),
+    ("zlib", "altered", r"altered\s+source\s+versions\s+must\s+be\s+plainly\s+marked\s+as\s+such"),
+    ("boost-1.0", "machine-executable", r"solely\s+in\s+the\s+form\s+of\s+machine-executable\s+object\s+code"),
+    ("boost-1.0", "boost", r"boost\.org/license_1_0|\bboost\s+license\b"),
+    ("cc0-1.0", "waive", r"waive[sd]?\s+all\s+(?:of\s+(?:his|her|their)\s+)?(?:copyright\s+and\s+related|rights)"),
+    ("cc0-1.0", "copyright", r"\bno\s+copyright\b.{0,40}\brights\s+reserved\b"),
+    ("unlicense", "compile", r"anyone\s+is\s+free\s+to\s+copy,\s+modify,\s+publish,\s+use,\s+compile,\s+sell"),
+    ("wtfpl", "wtf", r"\bwtf\s+public\s+licen[cs]e\b"),
+    ("cc-by-sa", "share-alike", r"attribution[\s-]+share-alike\s+licen[cs]e"),
+    ("cc-by", "attribution", r"\battribution\s+\d\.0\s+(?:international|unported|generic)\b"),
+    ("cc-by-nc", "noncommercial", r"\battribution-noncommercial\s+\d\.0\b"),
+    ("cc-sampling", "sampling", r"\bsampling\s+plus\s+\d\.\d\b"),
+    ("cc", "creative", r"\bcreative\s+commons\s+licen[cs]e[ds]?\b"),
+    ("odbl", "opendatacommons", r"opendatacommons\.org/licenses/odbl"),
+    ("odc-by", "opendatacommons", r"opendatacommons\.org/licenses/by"),
+    ("pddl", "opendatacommons", r"opendatacommons\.org/licenses/pddl"),
+    ("ogl-uk", "government", r"\bopen\s+government\s+licen[cs]e\b"),
+    ("ogl-canada", "canada", r"open\s+government\s+licen[cs]e\s+-\s+canada"),
+    ("etalab", "etalab", r"\betalab\b|\blicence\s+ouverte\s+/\s+etalab\b"),
+    ("dl-de-by", "datenlizenz", r"datenlizenz\s+deutschland(?:\s+[-–]\s+namensnennung)?"),
+    ("nlod", "norwegian", r"norwegian\s+licen[cs]e\s+for\s+open\s+government\s+data"),
+    ("cdla-permissive", "permissive", r"community\s+data\s+license\s+agreement\s+[-–]\s+permissive"),
+    ("cdla-sharing", "sharing", r"community\s+data\s+license\s+agreement\s+[-–]\s+sharing"),
+    ("lgpl-lr", "linguistic", r"lesser\s+general\s+public\s+license\s+for\s+linguistic\s+resources"),
+    ("free-art", "art", r"\bfree\s+art\s+licen[cs]e\b"),
+    ("free-art", "libre", r"\blicence\s+art\s+libre\b"),
+    ("cern-ohl", "cern", r"\bcern[\s-]+(?:open\s+hardware\s+licen[cs]e|ohl)\b"),
+    ("tapr-ohl", "tapr", r"\btapr\s+open\s+hardware\s+licen[cs]e\b"),
+    ("solderpad", "solderpad", r"\bsolderpad\s+(?:hardware\s+)?licen[cs]e\b"),
+    ("ofl", "reserved", r"\breserved\s+font\s+names?\b"),
+    ("ubuntu-font", "ubuntu", r"\bubuntu\s+font\s+licen[cs]e\b"),
+    ("bitstream-vera", "bitstream", r"\bbitstream\s+vera\b.{0,40}\btrademark\b"),
+    ("gust-font", "gust", r"\bgust\s+font\s+licen[cs]e\b"),
+    ("ipa-font", "ipa", r"\bipa\s+font\s+licen[cs]e\b"),
+    ("arphic", "arphic", r"\barphic\s+public\s+licen[cs]e\b"),
+    ("openldap", "openldap", r"\bopenldap\s+public\s+licen[cs]e\b"),
+    ("xfree86", "xfree86", r"\bxfree86\s+(?:project\s+)?licen[cs]e\b"),
+    ("net-snmp", "snmp", r"\bnet-snmp\s+licen[cs]e\b"),
+    ("ntp", "ntp", r"\bntp\s+licen[cs]e\b"),
+    ("sleepycat", "sleepycat", r"\bsleepycat\s+(?:public\s+)?licen[cs]e\b"),
+    ("sendmail", "sendmail", r"\bsendmail\s+licen[cs]e\b"),
+    ("jpeg-group", "jpeg", r"based\s+in\s+part\s+on\s+the\s+work\s+of\s+the\s+independent\s+jpeg\s+group"),
+    ("libtiff", "libtiff", r"\blibtiff\s+licen[cs]e\b|\bsam\s+leffler\b.{0,60}\blibtiff\b"),
+    ("freetype", "freetype", r"\bfreetype\s+(?:project\s+)?licen[cs]e\b"),
+    ("icu", "icu", r"\bicu\s+licen[cs]e\b"),
+    ("unicode", "unicode.org", r"unicode\.org/(?:copyright|license)"),
+    ("imagemagick", "imagemagick", r"\bimagemagick\s+licen[cs]e\b"),
+    ("perl", "perl", r"same\s+terms\s+as\s+perl(?:\s+itself)?"),
+    ("python-cnri", "cnri", r"\bcnri\s+(?:open\s+source\s+)?(?:gpl-compatible\s+)?licen[cs]e\b"),
+    ("ruby", "ruby", r"same\s+terms\s+as\s+ruby(?:\s+itself)?"),
+    ("php", "php.net", r"php\.net/license"),
+    ("tcl", "scriptics", r"scriptics\s+corporation.{0,60}permission"),
+    ("clisp", "clisp", r"\bclisp\s+licen[cs]e\b"),
+    ("erlang", "erlang", r"\berlang\s+public\s+licen[cs]e\b"),
+    ("latex", "lppl", r"\blppl\b(?:[\s-]+(?:version\s+)?1\.\d[a-c]?)?"),
+    ("intel-open", "intel", r"\bintel\s+open\s+source\s+licen[cs]e\b"),
+    ("ibm-pl", "ibm", r"\bibm\s+public\s+licen[cs]e\b"),
+    ("nokia", "nokia", r"\bnokia\s+open\s+source\s+licen[cs]e\b"),
+    ("apple-psl", "apple", r"\bapple\s+public\s+source\s+licen[cs]e\b"),
+    ("apple-sample", "apple", r"apple\s+grants\s+you\s+a\s+personal,\s+non-exclusive\s+license"),
+    ("sun-pl", "sun", r"\bsun\s+(?:industry\s+standards\s+source|public)\s+licen[cs]e\b"),
+    ("oracle-bcl", "oracle", r"\boracle\s+binary\s+code\s+licen[cs]e\b"),
+    ("oracle-upl", "universal", r"\buniversal\s+permissive\s+licen[cs]e\b"),
+    ("nasa", "nasa", r"\bnasa\s+open\s+source\s+agreement\b"),
+    ("rpl", "reciprocal", r"\breciprocal\s+public\s+licen[cs]e\b"),
+    ("cpal", "attribution", r"\bcommon\s+public\s+attribution\s+licen[cs]e\b"),
+    ("hippocratic", "hippocratic", r"\bhippocratic\s+licen[cs]e\b"),
+    ("anti-996", "996", r"\banti[\s-]+996\s+licen[cs]e\b"),
+    ("commons-clause", "clause", r"\bcommons\s+clause\b"),
+    ("polyform", "polyform", r"\bpolyform\s+(?:noncommercial|small\s+business|shield|perimeter|strict|free\s+trial|internal\s+use)\s+licen[cs]e\b"),
+    ("confluent", "confluent", r"\bconfluent\s+community\s+licen[cs]e\b"),
+    ("timescale", "timescale", r"\btimescale\s+licen[cs]e\b"),
+    ("redis-sal", "redis", r"\bredis\s+source\s+available\s+licen[cs]e\b"),
+    ("fsl", "functional", r"\bfunctional\s+source\s+licen[cs]e\b"),
+    ("parity", "parity", r"\bparity\s+public\s+licen[cs]e\b"),
+    ("blue-oak", "oak", r"\bblue\s+oak\s+model\s+licen[cs]e\b"),
+    ("mulan", "mulan", r"\bmulan\s+(?:psl|permissive\s+software\s+licen[cs]e|public\s+licen[cs]e)\b"),
+    ("cecill", "cecill", r"\bcecill(?:-[abc])?\b"),
+    ("liliq", "liliq", r"\bliliq-(?:p|r|rplus)\b"),
+    ("upstream-ai", "gemma", r"\bgemma\s+terms\s+of\s+use\b"),
+    ("bigcode", "bigcode", r"\bbigcode\s+openrail(?:-m)?\b"),
+    ("research-only", "research", r"for\s+(?:non-?commercial\s+)?research\s+(?:and\s+educational\s+)?purposes\s+only"),
+    ("non-commercial", "commercial", r"for\s+non-?commercial\s+(?:use|purposes)\s+only|not\s+for\s+commercial\s+use"),
+    ("personal-use", "personal", r"for\s+(?:your\s+)?personal(?:,\s+non-?commercial)?\s+use\s+only"),
+    ("evaluation-only", "evaluation", r"for\s+evaluation\s+purposes\s+only"),
+    ("no-derivatives", "derivative", r"may\s+not\s+(?:create|make|distribute)\s+derivative\s+works"),
+    ("eula", "user", r"\bend\s+user\s+licen[cs]e\s+agreement\b"),
+    ("trial", "trial", r"\btrial\s+licen[cs]e\b"),
+    ("freeware", "freeware", r"\bfreeware\b"),
+    ("shareware", "shareware", r"\bshareware\b"),
+    ("crown-copyright", "crown", r"\bcrown\s+copyright\b"),
+    ("us-government", "government", r"work\s+of\s+the\s+(?:united\s+states|u\.s\.)\s+government"),
+    ("copyleft", "copyleft", r"\bcopyleft\b"),
+    ("permission-required", "permission", r"(?:prior\s+)?written\s+permission\s+(?:of|from)\s+the\s+(?:publisher|author|copyright\s+holder)"),
+    ("reproduction-prohibited", "prohibited", r"(?:reproduction|redistribution|unauthori[sz]ed\s+(?:use|copying))\s+(?:\S+\s+){0,6}(?:is\s+)?(?:strictly\s+)?prohibited"),
+    ("no-reproduction", "reproduced", r"no\s+part\s+of\s+this\s+(?:publication|book|document|work)\s+may\s+be\s+reproduced"),
+    ("copyright-notice", "copyright", r"\bcopyright\s+(?:\(c\)|©)\s+\d{4}"),
     # Notices without a name.
     ("public-domain", "public", r"(?:in|into|to|dedicated\s+to)\s+the\s+public\s+domain"),
     ("proprietary", "proprietary", r"proprietary\s+and\s+confidential|proprietary\s+licen[cs]e"),

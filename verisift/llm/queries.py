@@ -115,6 +115,40 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_detections")
 
 
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9 that SQL can state."""
+    return op9_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+BASE_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, list_filter(range(len(ws)), lambda i: ws[i + 1] = 'mit' AND coalesce(ws[i + 2], '') = 'license') AS mit, list_filter(range(len(ws)), lambda i: ws[i + 1] = 'apache' AND coalesce(ws[i + 2], '') = 'license') AS apache,
+      list_filter(range(len(ws)), lambda i: ws[i + 1] = 'general' AND coalesce(ws[i + 2], '') = 'public' AND coalesce(ws[i + 3], '') = 'license') AS gpl FROM w),
+a AS (SELECT *, list_concat(list_concat(mit, apache), gpl) AS places FROM p)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+       concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels FROM a
+"""
+
+
+def matroska_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op1 that SQL can state."""
+    return op1_matroska(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+PAYLOAD_SQL = r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents), p AS (SELECT doc_id, raw, octet_length(raw) AS n, greatest(64, (octet_length(raw) + 63) // 64 * 64) AS m FROM b)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(m AS BIGINT) AS payload_bytes, sha256(raw || unhex(repeat('00', CAST(m - n AS INTEGER)))) AS payload_sha256 FROM p
+"""
+
+
+def unigram_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4 that SQL can state."""
+    return op4_unigram(spark, sf_dir).select("doc_id", "decoded_sha256", "round_trip")
+
+
+DECODED_SQL = "SELECT doc_id, sha256(replace(coalesce(text, ''), '▁', ' ')) AS decoded_sha256, NOT contains(coalesce(text, ''), '▁') AS round_trip FROM documents"
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -131,6 +165,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_licenses": op9_licenses,
         "op10_token_store": op10_token_store,
+        "matroska_payload": matroska_payload,
+        "unigram_decoded": unigram_decoded,
+        "licenses_base": licenses_base,
     }
 
 
@@ -141,4 +178,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_pages": OP5_SQL,
         "op6_substrings": OP6_SQL,
         "op8_mixing": OP8_SQL,
+        "matroska_payload": PAYLOAD_SQL,
+        "unigram_decoded": DECODED_SQL,
+        "licenses_base": BASE_SQL,
     }

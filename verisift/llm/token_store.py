@@ -44,7 +44,7 @@ from .kernels import U64, mix, window_hashes
 
 WINDOW, MIN, AVERAGE, MAX = 16, 256, 1024, 8192
 #: Words whose ids a Python worker remembers, and bytes of text that it encodes at once.
-REMEMBERED, BATCH_BYTES = 300_000, 6 << 20
+REMEMBERED, BATCH_BYTES = 500_000, 8 << 20
 #: White characters, and a space between two of them or between one and the text's end; there a split at spaces would not be the tokenizer's own.
 _SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 _INNER = rf"{_SPACE} (?:{_SPACE}|\z)"
