@@ -50,11 +50,11 @@ RULES: list[tuple[str, str, str]] = [
         "CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 ODbL-1.0 ODC-By-1.0 PDDL-1.0 GFDL-1.2-only GFDL-1.3-only JSON Ruby PHP-3.01 Zend-2.0 Vim"
     ),
     # Creative Commons, short and long names.
-    *_family("cc-by-nc-nd", "cc", r"\bcc[\s-]+by-nc-nd", "1.0 2.0 2.5 3.0 4.0", r"[\s-]+"),
-    *_family("cc-by-nc-sa", "cc", r"\bcc[\s-]+by-nc-sa", "1.0 2.0 2.5 3.0 4.0", r"[\s-]+"),
-    *_family("cc-by-nc", "cc", r"\bcc[\s-]+by-nc", "1.0 2.0 2.5 3.0 4.0", r"[\s-]+"),
-    *_family("cc-by-nd", "cc", r"\bcc[\s-]+by-nd", "1.0 2.0 2.5 3.0 4.0", r"[\s-]+"),
-    *_family("cc-by-sa", "cc", r"\bcc[\s-]+by-sa", "1.0 2.0 2.5 3.0 4.0", r"[\s-]+"),
+    *_family("cc-by-nc-nd", "by-nc-nd", r"\bcc[\s-]+by-nc-nd", "1.0 2.0 2.5 3.0 4.0", r"[\s-]+"),
+    *_family("cc-by-nc-sa", "by-nc-sa", r"\bcc[\s-]+by-nc-sa", "1.0 2.0 2.5 3.0 4.0", r"[\s-]+"),
+    *_family("cc-by-nc", "by-nc", r"\bcc[\s-]+by-nc", "1.0 2.0 2.5 3.0 4.0", r"[\s-]+"),
+    *_family("cc-by-nd", "by-nd", r"\bcc[\s-]+by-nd", "1.0 2.0 2.5 3.0 4.0", r"[\s-]+"),
+    *_family("cc-by-sa", "by-sa", r"\bcc[\s-]+by-sa", "1.0 2.0 2.5 3.0 4.0", r"[\s-]+"),
     *_family("cc-by", "cc", r"\bcc[\s-]+by", "1.0 2.0 2.5 3.0 4.0", r"[\s-]+"),
     *_family("cc-by-nc-nd", "creative", r"creative\s+commons\s+attribution[\s-]+noncommercial[\s-]+noderiv(?:ative)?s", "2.0 2.5 3.0 4.0", r"\s+(?:international|unported|generic)?\s*"),
     *_family("cc-by-nc-sa", "creative", r"creative\s+commons\s+attribution[\s-]+noncommercial[\s-]+sharealike", "2.0 2.5 3.0 4.0", r"\s+(?:international|unported|generic)?\s*"),
@@ -189,7 +189,7 @@ RULES: list[tuple[str, str, str]] = [
     ("boost-1.0", "machine-executable", r"solely\s+in\s+the\s+form\s+of\s+machine-executable\s+object\s+code"),
     ("boost-1.0", "boost", r"boost\.org/license_1_0|\bboost\s+license\b"),
     ("cc0-1.0", "waive", r"waive[sd]?\s+all\s+(?:of\s+(?:his|her|their)\s+)?(?:copyright\s+and\s+related|rights)"),
-    ("cc0-1.0", "copyright", r"\bno\s+copyright\b.{0,40}\brights\s+reserved\b"),
+    ("cc0-1.0", "copyright", r"\bno\s+copyright\s(?:.{0,40}\s)?rights\s+reserved\b"),
     ("unlicense", "compile", r"anyone\s+is\s+free\s+to\s+copy,\s+modify,\s+publish,\s+use,\s+compile,\s+sell"),
     ("wtfpl", "wtf", r"\bwtf\s+public\s+licen[cs]e\b"),
     ("cc-by-sa", "share-alike", r"attribution[\s-]+share-alike\s+licen[cs]e"),
@@ -215,7 +215,7 @@ RULES: list[tuple[str, str, str]] = [
     ("solderpad", "solderpad", r"\bsolderpad\s+(?:hardware\s+)?licen[cs]e\b"),
     ("ofl", "reserved", r"\breserved\s+font\s+names?\b"),
     ("ubuntu-font", "ubuntu", r"\bubuntu\s+font\s+licen[cs]e\b"),
-    ("bitstream-vera", "bitstream", r"\bbitstream\s+vera\b.{0,40}\btrademark\b"),
+    ("bitstream-vera", "bitstream", r"\bbitstream\s+vera\s(?:.{0,40}\s)?trademark\b"),
     ("gust-font", "gust", r"\bgust\s+font\s+licen[cs]e\b"),
     ("ipa-font", "ipa", r"\bipa\s+font\s+licen[cs]e\b"),
     ("arphic", "arphic", r"\barphic\s+public\s+licen[cs]e\b"),
@@ -226,7 +226,7 @@ RULES: list[tuple[str, str, str]] = [
     ("sleepycat", "sleepycat", r"\bsleepycat\s+(?:public\s+)?licen[cs]e\b"),
     ("sendmail", "sendmail", r"\bsendmail\s+licen[cs]e\b"),
     ("jpeg-group", "jpeg", r"based\s+in\s+part\s+on\s+the\s+work\s+of\s+the\s+independent\s+jpeg\s+group"),
-    ("libtiff", "libtiff", r"\blibtiff\s+licen[cs]e\b|\bsam\s+leffler\b.{0,60}\blibtiff\b"),
+    ("libtiff", "libtiff", r"\blibtiff\s+licen[cs]e\b|\bsam\s+leffler\s(?:.{0,60}\s)?libtiff\b"),
     ("freetype", "freetype", r"\bfreetype\s+(?:project\s+)?licen[cs]e\b"),
     ("icu", "icu", r"\bicu\s+licen[cs]e\b"),
     ("unicode", "unicode.org", r"unicode\.org/(?:copyright|license)"),
@@ -344,10 +344,14 @@ def scan(docs: DataFrame) -> DataFrame:
     ends = "|".join(sorted({f"{a}{GAP}{b}" for *_, a, b in (p.split(" ") for p, _ in BASE)}))
     gated = docs.select(
         *carried,
-        F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long").alias("n_words"),
-        F.when(text.rlike(rf"(?i)\b(?:{'|'.join(map(_literal, GATE))})"), lower_ascii(text)).alias("_low"),
+        F.split(text, GAP).alias("_parts"),
+        F.when(text.rlike(rf"(?i)\b(?:{_either(GATE)})"), lower_ascii(text)).alias("_low"),
         text.rlike(f"(?i)(?:{ends})").alias("_base"),
     )
+    # What stands between the gaps are the words, but for nothing before a first and after a last gap.
+    n_parts = F.size("_parts")
+    n_words = n_parts - (F.element_at("_parts", 1) == "").cast("int") - ((n_parts > 1) & (F.element_at("_parts", -1) == "")).cast("int")
+    gated = gated.withColumn("n_words", n_words.cast("long")).drop("_parts")
     split = gated.withColumn("_words", F.when(F.col("_base"), F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))))
     places = split
     for k, (phrase, _) in enumerate(BASE):
@@ -357,8 +361,11 @@ def scan(docs: DataFrame) -> DataFrame:
         places = places.withColumn(f"_at{k}", F.coalesce(here, F.array().cast("array<int>")))
     every = F.concat(*[F.col(f"_at{k}") for k in range(len(BASE))])
     based = places.select(*carried, "n_words", "_low", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.array_compact(F.array(*[F.when(F.size(f"_at{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)])).alias("_base_labels"))
-    tried = F.filter(_rules(), lambda r: F.contains("_low", r["keyword"]))
-    hits = based.withColumn("_hits", F.when(F.col("_low").isNotNull(), F.flatten(F.transform(tried, _intervals))))
+    # Each keyword is looked for once, however many rules have it.
+    known = F.array(*[F.lit(k) for k in sorted({k for _, k, _ in RULES})])
+    based = based.withColumn("_known", F.when(F.col("_low").isNotNull(), F.filter(known, lambda k: F.contains("_low", k))))
+    tried = F.filter(_rules(), lambda r: F.array_contains("_known", r["keyword"]))
+    hits = based.withColumn("_hits", F.when(F.size("_known") > 0, F.flatten(F.transform(tried, _intervals))))
     # Sorted by start, longest first, then priority: contained is what ends no later than anything before it.
     order = F.transform("_hits", lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("left"), x["priority"].alias("priority"), x["label"].alias("label")))
     nothing = F.struct(F.lit(-1).alias("stop"), F.array().cast("array<string>").alias("labels"), F.lit(0).alias("n"))
@@ -379,5 +386,14 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
+def _either(words: list[str]) -> str:
+    """A pattern of what begins with any of the words, each beginning that they share written once."""
+    if "" in words:
+        return ""
+    tails = {c: [w[1:] for w in words if w[0] == c] for c in sorted({w[0] for w in words})}
+    parts = [_literal(c) + _either(rest) for c, rest in tails.items()]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 def _literal(word: str) -> str:
     return re.sub(r"([.+-])", r"\\\1", word)
