@@ -45,6 +45,7 @@ def main() -> None:
                 took.append(time.perf_counter() - began)
         seconds[name], rows[name], moved[name] = round(statistics.median(took), 4), seen.get["n"], shuffled() - before
         spark.catalog.clearCache()
+        print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(seconds.values()), 4), "unit": "sec", "queries": seconds, "rows": rows, "shuffle_bytes": moved, "sf": SF_DIR, "cpus": int(CPUS), "runs": RUNS}))
 
 

@@ -64,8 +64,9 @@ SHINGLE = 4
 
 def _shingles(words: Column) -> Column:
     """Hashes of each SHINGLE words in a row."""
-    each = F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
-    return F.when(F.size(words) >= SHINGLE, each).otherwise(F.array().cast("array<bigint>"))
+    n = F.greatest(F.size(words) - (SHINGLE - 1), F.lit(0))
+    # Zipped slices: the words are made once for a row, not once for a shingle.
+    return F.transform(F.arrays_zip(*[F.slice(words, F.lit(k + 1), n) for k in range(SHINGLE)]), lambda z: F.xxhash64(z))
 
 
 def containing(documents: DataFrame, excerpts: DataFrame, key: str = "doc_id") -> DataFrame:
