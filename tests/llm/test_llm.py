@@ -863,6 +863,15 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
             assert now.columns == corpus_pipeline.COLUMNS
         if name == "language":
             assert {x.doc_id for x in now.collect()} == {x[0] for x in rows} - {801, 802, 803}
+            model = language.fit(language.training_rows(docs, F.lit(True)))
+            keys = {int(k): n for n, k in enumerate(model.keys)}
+            for x in now.collect():
+                logs = []
+                for word in re.findall(r"[^\W\d_]+", x.text.lower()):
+                    marked = [2, *map(ord, word), 3]
+                    logs.append(sum(model.logs[keys.get(a << 42 | b << 21 | c, len(keys))] for a, b, c in zip(marked, marked[1:], marked[2:], strict=False)))
+                want = brute_mixture(np.array(logs), language.PENALTY, language.ENOUGH)
+                assert x.lang == model.languages[int(want.argmax())] and want.max() >= corpus_pipeline.LEAST_SHARE - 5e-3
         if name == "near duplicates":
             given = [(x.doc_id, x.text) for x in seen[name].collect()]
             kept = {i for i, _, c in brute_groups(given, 5, 80) if i == c}
@@ -872,6 +881,15 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
             want = {i: h for i, _, _, h in brute_removed(given, 35)}
             assert {x.doc_id: hashlib.sha256(" ".join(words(x.text)).encode()).hexdigest() for x in now.collect()} == want
             assert not any("pass1 " in x.text for x in now.collect())
+        if name == "mixing":
+            given = seen[name].collect()
+            keys = [x.source if x.source in queries.WEIGHTS else mixing.REST for x in given]
+            means = mixing.rates({k: keys.count(k) for k in set(keys)}, queries.WEIGHTS, len(given))
+            want = []
+            for x, k in zip(given, keys, strict=True):
+                u = int(hashlib.md5(f"17/{x.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+                want += [(x.doc_id, x.text)] * sum(step <= u for step in mixing.steps(means[k]))
+            assert sorted((x.doc_id, x.text) for x in now.collect()) == sorted(want)
         if name == "token ids":
             assert now.count() == seen[name].count() and now.where("NOT round_trip").count() == 0
     assert corpus_pipeline.run(spark, at).count() == now.count()
